@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules, secret_scan
 from .bpe_codec import encode_and_decode
 from .common import documents, new_folder
 from .packing import pack
+from .quality_rules import quality
+from .secret_scan import find_secrets
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_shards import read_shards, write_shards
 
@@ -16,6 +20,14 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, manifest, with_ids=False).drop("ids")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), full=False)
 
@@ -28,5 +40,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op6_bpe_codec, op8_token_counts, op9_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op3_secret_scan, op4_quality_rules, op6_bpe_codec, op8_token_counts, op9_best_fit_packing, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secret_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
