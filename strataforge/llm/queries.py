@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_rules, secret_scan
 from .bpe_codec import encode_and_decode
 from .common import documents, new_folder
+from .edit_fingerprints import fingerprints_of_edits
+from .language_id import identify
 from .packing import pack
 from .quality_rules import quality
 from .secret_scan import find_secrets
@@ -20,6 +22,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, manifest, with_ids=False).drop("ids")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
@@ -32,6 +38,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), full=False)
 
 
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_of_edits(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
@@ -44,5 +54,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op3_secret_scan, op4_quality_rules, op6_bpe_codec, op8_token_counts, op9_best_fit_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_id, op3_secret_scan, op4_quality_rules, op6_bpe_codec, op7_edit_fingerprints, op8_token_counts, op9_best_fit_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secret_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
