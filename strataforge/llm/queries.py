@@ -9,6 +9,7 @@ from .bpe_codec import encode_and_decode
 from .common import documents, new_folder
 from .edit_fingerprints import fingerprints_of_edits
 from .language_id import identify
+from .lm_mixing import score_documents
 from .packing import pack
 from .quality_rules import quality
 from .secret_scan import find_secrets
@@ -34,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op5_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), full=False)
 
@@ -54,5 +59,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_id, op3_secret_scan, op4_quality_rules, op6_bpe_codec, op7_edit_fingerprints, op8_token_counts, op9_best_fit_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_id, op3_secret_scan, op4_quality_rules, op5_lm_mixing, op6_bpe_codec, op7_edit_fingerprints, op8_token_counts, op9_best_fit_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secret_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
