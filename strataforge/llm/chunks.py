@@ -14,6 +14,10 @@ import os
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CHUNK = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ .,\n;:!?])|[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
 _CUT = re.compile(r"(?<=\S)[ \n]")
 #: A text longer than this is handled in several parts, cut at a chunk's end.
@@ -32,48 +36,87 @@ def parts(text: str, most: int = PART) -> Iterable[str]:
     yield text[at:] if at else text
 
 
+#: A blank that a blank or line end follows (the class: what either engine calls a blank): such texts are cut by
+#: CHUNK, all others at each blank and line end.
+_UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]"
+
+
 class ChunkEncoder:
-    """encode(texts) gives each text's ids as bytes. Keeps at most `kept` chunks."""
+    """encode(texts) gives each text's ids as bytes.
 
-    def __init__(self, encode_distinct: Callable[[list[str]], list[bytes]], kept: int = 600_000):
+    Texts are split, and their distinct words numbered and looked up among the known ones, by Arrow; Python sees
+    the unknown words alone. The ids of all words are gathered by numpy. At most `kept` words are held; when they
+    are too many, the older half goes."""
+
+    def __init__(self, encode_distinct: Callable[[list[str]], list[bytes]], kept: int = 1_500_000):
         self.encode_distinct = encode_distinct
         self.kept = kept
-        self.known: dict[str, bytes] = {}
+        self.loose: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text; the caller keeps the texts of one call to a few MB."""
-        out: list[bytes | None] = []
-        late: list[tuple[int, list[str]]] = []
-        missing: set[str] = set()
-        get = self.known.get
-        for k, text in enumerate(texts):
-            if len(text) > 2 * PART:
-                out.append(b"".join(self.encode([part])[0] for part in parts(text)))
-                get = self.known.get
-                continue
-            chunks = CHUNK.findall(text)
-            found = [*map(get, chunks)]
-            if None in found:
-                missing.update(c for c, ids in zip(chunks, found) if ids is None)
-                late.append((k, chunks))
-                out.append(None)
-            else:
-                out.append(b"".join(found))
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, one by one."""
+        missing = [*{x for x in chunks if x not in self.loose}]
         if missing:
-            if len(self.known) + len(missing) > self.kept:
-                # all chunks of the waiting texts are encoded again, so that none is lost with the old ones
-                self.known = {}
-                missing = set().union(*(chunks for _, chunks in late))
-            new = [*missing]
-            self.known.update(zip(new, self.encode_distinct(new)))
-            get = self.known.get
-            for k, chunks in late:
-                out[k] = b"".join(map(get, chunks))
+            if len(self.loose) + len(missing) > self.kept // 2:
+                self.loose, missing = {}, [*set(chunks)]
+            self.loose.update(zip(missing, self.encode_distinct(missing)))
+        return [*map(self.loose.__getitem__, chunks)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text; the caller keeps the texts of one call to some MB."""
+        out: list[bytes] = [b""] * len(texts)
+        long = [k for k, text in enumerate(texts) if len(text) > 2 * PART]
+        for k in long:
+            out[k] = b"".join(self.encode([part])[0] for part in parts(texts[k]))
+        short = [k for k, text in enumerate(texts) if len(text) <= 2 * PART] if long else range(len(texts))
+        unsafe = pc.match_substring_regex(pa.array([texts[k] for k in short], pa.string()), _UNSAFE).to_pylist()
+        for k in (k for k, x in zip(short, unsafe) if x):
+            out[k] = b"".join(self.lookup(CHUNK.findall(texts[k])))
+        plain = [k for k, x in zip(short, unsafe) if not x]
+        if plain:
+            for k, ids in zip(plain, self._plain([texts[k].replace("\n", " \n") for k in plain])):
+                out[k] = ids
         return out
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        offsets, index = split.offsets.to_numpy() - split.offsets[0].as_py(), coded.indices.to_numpy().astype(np.int64)
+        # a text's first word has no blank before it
+        first = self.lookup(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist())
+        at = self._places(coded.dictionary)
+        index = at[index]
+        index[offsets[:-1]] = np.arange(len(self.sizes), len(self.sizes) + len(first))
+        sizes = np.r_[self.sizes, np.fromiter(map(len, first), np.int64, len(first)) // 4]
+        flat, starts = np.r_[self.flat, np.frombuffer(b"".join(first), "<u4")], np.cumsum(sizes) - sizes
+        own = sizes[index]
+        ends = np.cumsum(own)
+        joined, cuts = flat[np.arange(ends[-1]) + np.repeat(starts[index] - ends + own, own)], ends[offsets[1:] - 1]
+        return [joined[a:b].tobytes() for a, b in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist())]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each distinct word stands among the known ones, to which the unknown are added."""
+        if len(self.words) + len(words) > self.kept:
+            half = len(self.words) // 2
+            self.words, self.flat = self.words.slice(half), self.flat[self.sizes[:half].sum() :]
+            self.sizes = self.sizes[half:]
+        at = pc.index_in(words, value_set=self.words)
+        unknown = words.filter(at.is_null())
+        if len(unknown):
+            ids = self.encode_distinct([x if x[:1] == "\n" else " " + x for x in unknown.to_pylist()])
+            at = pc.fill_null(at, -1).to_numpy().copy()
+            at[at < 0] = np.arange(len(self.words), len(self.words) + len(unknown))
+            self.words = pa.concat_arrays([self.words, unknown])
+            self.sizes = np.r_[self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4]
+            self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), "<u4")]
+        return np.asarray(at).astype(np.int64)
+
 
 def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes with the library itself: no added special tokens, truncation or padding."""
+    """Encodes with the library itself: no added special tokens, truncation or padding. Chunks that begin with a blank
+    and have no other are encoded many at a time, as one text, and told apart by the library's offsets."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -81,13 +124,31 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    def alone(chunks: list[str]) -> list[bytes]:
+        return [array.array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
     def encode(chunks: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [array.array("I", x.ids).tobytes() for x in found]
+        joint = [k for k, x in enumerate(chunks) if _SIMPLE.fullmatch(x)]
+        groups = [joint[k : k + 200] for k in range(0, len(joint), 200)]
+        found: list[bytes | None] = [None] * len(chunks)
+        for group, x in zip(groups, tokenizer.encode_batch(["".join(chunks[k] for k in group) for group in groups], add_special_tokens=False)):
+            begins = np.fromiter((a for a, _ in x.offsets), np.int64, len(x))
+            cuts = np.searchsorted(begins, np.cumsum([len(chunks[k]) for k in group])).tolist()
+            ids, at = array.array("I", x.ids).tobytes(), 0
+            for k, cut in zip(group, cuts):
+                found[k], at = ids[4 * at : 4 * cut], cut
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, alone([chunks[k] for k in rest])):
+            found[k] = ids
+        return found
 
     return encode
 
 
+#: What can stand in a joint text: a blank and Latin words and marks, nothing that normalising may move.
+_SIMPLE = re.compile(r"[ \n][A-Za-zÀ-ÖØ-öø-ɏ0-9]+[-.,;:!?')]*")
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
