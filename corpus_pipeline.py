@@ -1,18 +1,55 @@
-"""Corpus pipeline: stages over documents, each one operator's decisions put into effect."""
+"""Corpus pipeline over the documents table: five stages, each putting one operator's decisions into effect.
+
+Every stage takes all that the one before kept and returns the columns of documents; the last returns the packed
+pieces. Between stages the rows are written and read again, so that a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strataforge.llm.common import documents, stored
+from strataforge.llm.language_id import in_known_language
 from strataforge.llm.packing import pack
+from strataforge.llm.quality_rules import good_documents
+from strataforge.llm.secret_scan import redacted
+from strataforge.llm.simhash import one_of_each
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known; learned from the stage's own labelled rows."""
+    return in_known_language(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep."""
+    return good_documents(docs)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group: that of the least doc_id."""
+    return one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets in their texts replaced by a mark."""
+    return redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its sequence and its place there."""
     return pack(docs)
 
 
-STAGES = [("best-fit packing", pack_documents)]
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Trained models, fingerprints and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -105,7 +105,10 @@ def quality(documents: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS
 def good_documents(documents: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows of documents that the rules keep, with their columns; no shuffle."""
     held = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
-    return measured(held, "row").where(~F.expr(BASE_FAILED) & passes(thresholds)).select("row.*")
+    # exploding none or one row, not a filter: the optimizer would move a filter's condition down through the
+    # projections and have each measure's arrays made anew wherever the condition names them
+    kept = F.when(~F.expr(BASE_FAILED) & passes(thresholds), F.array("row"))
+    return measured(held, "row").select(F.explode(kept).alias("row")).select("row.*")
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
