@@ -1,4 +1,373 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the same in DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The leveled table of most queries is orders, keyed by o_custkey and identified by o_orderkey, S = 4 and L = 2, with a
+log of deltas computed from orders: updates, later updates, tombstones, and deltas without a row.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.routing import child_of, partition_of
+from ..operators import deltas as D
+from ..operators import programs as P
+from ..sources.files import table
+from .spec import TableSpec
+from .table import LeveledTable, fold_edits
+
+S, L = 4, 2
+SPEC = TableSpec("o_custkey", "o_orderkey", ("o_orderstatus", "o_totalprice", "o_orderpriority"), S, L)
+MERGE = TableSpec("o_custkey", "o_orderkey", SPEC.payload, S, L, delta_policy="merge")
+LINES = TableSpec("l_partkey", "l_orderkey", ("l_quantity", "l_returnflag"), S, L)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def base_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(*SPEC.columns)
+
+
+def deltas_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan of orders: each row gives the deltas of the rules it meets."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    none = F.lit(None)
+
+    def delta(group: int, row_id, value_map: int, status, price):
+        return F.struct(row_id.alias("row_id"), F.col("o_custkey").alias("part_key"), F.lit(value_map).alias("value_map"), status.cast("string").alias("o_orderstatus"), price.cast("double").alias("o_totalprice"), none.cast("string").alias("o_orderpriority"), (F.lit(group * 1_000_000).cast("long") + key).alias("seq"))
+
+    price = F.col("o_totalprice") + 100
+    met = [(key % 5 == 0, delta(0, key, 4, F.lit("X"), none)), (key % 7 == 0, delta(1, key, 8, none, price)), (key % 11 == 0, delta(2, key, 0, none, none)), (key % 13 == 0, delta(3, key + 10_000_000, 8, none, price))]
+    return o.select(F.explode(F.filter(F.array(*(F.when(c, d) for c, d in met)), lambda x: x.isNotNull())).alias("d")).select("d.*")
+
+
+_BASE = "b AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders)"
+_DELTAS = """d AS (
+  SELECT o_orderkey AS row_id, o_custkey AS part_key, 4 AS value_map, 'X' AS o_orderstatus, NULL::DOUBLE AS o_totalprice, NULL::VARCHAR AS o_orderpriority, o_orderkey AS seq FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, o_custkey, 8, NULL, o_totalprice + 100, NULL, 1000000 + o_orderkey FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT o_orderkey, o_custkey, 0, NULL, NULL, NULL, 2000000 + o_orderkey FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT o_orderkey + 10000000, o_custkey, 8, NULL, o_totalprice + 100, NULL, 3000000 + o_orderkey FROM orders WHERE o_orderkey % 13 = 0)"""
+_LAST = f"WITH {_BASE}, {_DELTAS}, l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY seq DESC) = 1)"
+_APPLIED = """SELECT o_custkey, o_orderkey, CASE WHEN l.value_map & 4 = 4 THEN l.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+  CASE WHEN l.value_map & 8 = 8 THEN l.o_totalprice ELSE b.o_totalprice END AS o_totalprice, b.o_orderpriority
+  FROM b LEFT JOIN l ON b.o_orderkey = l.row_id"""
+_DELETED = f"{_APPLIED} WHERE l.value_map IS NULL OR l.value_map <> 0"
+
+
+# routing
+
+
+@query("SELECT o_orderkey, ((o_custkey // 4) % 4)::INT AS child FROM orders")
+def route_child(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", child_of("o_custkey", 0, S, L).alias("child"))
+
+
+@query("SELECT o_orderkey, ((o_custkey // 16) % 4)::INT AS p0, ((o_custkey // 4) % 16)::INT AS p1, (o_custkey % 64)::INT AS p2 FROM orders")
+def route_partition_levels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(partition_of("o_custkey", k, S, L).alias(f"p{k}") for k in range(L + 1)))
+
+
+@query("SELECT ((o_custkey // 4) % 16)::INT AS partition_no, count(*) AS n_rows, sum(length(o_orderpriority))::BIGINT AS n_bytes FROM orders GROUP BY 1")
+def partition_sizes(spark, sf_dir):
+    return base_of(spark, sf_dir).groupBy(partition_of("o_custkey", 1, S, L).alias("partition_no")).agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("o_orderpriority")).alias("n_bytes"))
+
+
+# deltas
+
+
+@query(f"{_LAST} SELECT * FROM l")
+def delta_last_writer_wins(spark, sf_dir):
+    return D.latest(deltas_of(spark, sf_dir), SPEC)
+
+
+@query(f"""WITH {_DELTAS}, g AS (SELECT row_id, max((value_map = 0)::INT) AS gone, arg_max(part_key, seq) AS part_key, bit_or(value_map) AS m,
+  arg_max(o_orderstatus, seq) FILTER (WHERE value_map & 4 = 4) AS s, arg_max(o_totalprice, seq) FILTER (WHERE value_map & 8 = 8) AS t, max(seq) AS seq FROM d GROUP BY row_id)
+  SELECT row_id, part_key, CASE WHEN gone = 1 THEN 0 ELSE m END AS value_map, CASE WHEN gone = 0 THEN s END AS o_orderstatus, CASE WHEN gone = 0 THEN t END AS o_totalprice, NULL::VARCHAR AS o_orderpriority, seq FROM g""")
+def delta_column_merge(spark, sf_dir):
+    return D.latest(deltas_of(spark, sf_dir), MERGE)
+
+
+@query(f"{_LAST} SELECT x.* FROM ({_APPLIED} WHERE l.value_map <> 0) x")
+def delta_apply_update(spark, sf_dir):
+    base, log = base_of(spark, sf_dir), deltas_of(spark, sf_dir)
+    changed = D.latest(log, SPEC).where("value_map <> 0").select(F.col("row_id").alias("o_orderkey"))
+    return D.apply_deltas(base.join(changed, "o_orderkey", "left_semi").select(*SPEC.columns), log, SPEC)
+
+
+@query(f"{_LAST} {_DELETED}")
+def delta_apply_delete(spark, sf_dir):
+    return D.apply_deltas(base_of(spark, sf_dir), deltas_of(spark, sf_dir), SPEC)
+
+
+@query(f"{_LAST} {_APPLIED}")
+def delta_plain_variant(spark, sf_dir):
+    return D.apply_deltas(base_of(spark, sf_dir), deltas_of(spark, sf_dir), SPEC, deletes=False)
+
+
+@query(f"{_LAST} SELECT l.*, ((part_key // 4) % 4)::INT AS child FROM l WHERE row_id NOT IN (SELECT o_orderkey FROM b)")
+def delta_unmatched_forward(spark, sf_dir):
+    return D.unmatched(base_of(spark, sf_dir), deltas_of(spark, sf_dir), SPEC).withColumn("child", child_of("part_key", 0, S, L))
+
+
+@query("""WITH b AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)
+  SELECT l_partkey, l_orderkey, CASE WHEN rn = 1 AND l_orderkey % 3 = 0 THEN l_quantity + 1000 ELSE l_quantity END AS l_quantity, l_returnflag FROM b""")
+def delta_first_match_only(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    ranked = lines.groupBy("l_orderkey").agg(F.min_by("l_quantity", order).alias("q"))
+    log = ranked.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("row_id"), F.lit(0).cast("long").alias("part_key"), F.lit(4).alias("value_map"), (F.col("q") + 1000).alias("l_quantity"), F.lit(None).cast("string").alias("l_returnflag"), F.lit(1).cast("long").alias("seq"))
+    return D.apply_deltas(lines.select(*LINES.columns, "l_linenumber", "l_suppkey", "l_extendedprice"), log, LINES, first_match=order).select(*LINES.columns)
+
+
+@query("SELECT o_orderkey, (value_map >> 2) & 1 AS status_set, (value_map >> 3) & 1 AS price_set FROM (SELECT o_orderkey, (o_orderkey % 16)::INT AS value_map FROM orders)")
+def value_map_bits(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 16).cast("int").alias("value_map"))
+    return o.select("o_orderkey", *(F.getbit("value_map", F.lit(k)).cast("int").alias(n) for k, n in ((2, "status_set"), (3, "price_set"))))
+
+
+# the table
+
+
+@query(f"{_LAST} SELECT ((o_custkey // 4) % 4)::INT AS child, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total, count(*) FILTER (WHERE o_orderstatus = 'X') AS n_changed FROM ({_DELETED}) GROUP BY 1")
+def repartition_one_level(spark, sf_dir):
+    now = D.apply_deltas(base_of(spark, sf_dir), deltas_of(spark, sf_dir), SPEC)
+    return now.groupBy(child_of("o_custkey", 0, S, L).alias("child")).agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_if(F.col("o_orderstatus") == "X").alias("n_changed"))
+
+
+def _table(spark, sf_dir) -> LeveledTable:
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="table-")
+    made = LeveledTable.create(spark, f"{root.rstrip('/')}/orders-{uuid.uuid4().hex}", SPEC)
+    made.append(base_of(spark, sf_dir))
+    made.append_deltas(deltas_of(spark, sf_dir))
+    return made
+
+
+@query(f"{_LAST} SELECT 2 AS level, (o_custkey % 64)::INT AS partition_no, count(*) AS n_rows FROM ({_DELETED}) GROUP BY 2")
+def cascade_to_leaf(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    return t.partition_map(t.cascade()).where("rows > 0").select("level", "partition_no", F.col("rows").alias("n_rows"))
+
+
+@query(f"{_LAST} {_DELETED}")
+def cascade_then_read(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    return t.read(t.cascade())
+
+
+@query(f"{_LAST} {_DELETED}")
+def merge_on_read(spark, sf_dir):
+    return _table(spark, sf_dir).read()
+
+
+@query(f"{_LAST} SELECT * FROM ({_DELETED}) WHERE o_custkey BETWEEN 20 AND 45")
+def read_key_range(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    return t.read(t.cascade(), keys=(20, 45))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def snapshot_before_deltas(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    t.cascade()
+    with t.snapshot(1) as s:
+        return s.read()
+
+
+@query("SELECT 0 AS level, ((o_custkey // 16) % 4)::INT AS partition_no, count(*) AS n_rows, 0 AS generation, 0 AS consumed FROM orders GROUP BY 2")
+def partition_map_of_version(spark, sf_dir):
+    return _table(spark, sf_dir).partition_map(1).select("level", "partition_no", F.col("rows").alias("n_rows"), "generation", "consumed")
+
+
+@query("""WITH e AS (SELECT (event_id % 3)::INT AS level, (user_id % 16)::INT AS partition_no, event_id AS seq, CASE WHEN event_id % 10 = 0 THEN 'WRITE' ELSE 'ADD' END AS op, event_id % 97 AS value FROM events),
+  w AS (SELECT level, partition_no, max(seq) FILTER (WHERE op = 'WRITE') AS at_ FROM e GROUP BY 1, 2)
+  SELECT level, partition_no, sum(value)::BIGINT AS value FROM e JOIN w USING (level, partition_no) WHERE at_ IS NULL OR seq >= at_ GROUP BY 1, 2""")
+def partition_map_edits(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 3).cast("int").alias("level"), (F.col("user_id") % 16).cast("int").alias("partition_no"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 10 == 0, "WRITE").otherwise("ADD").alias("op"), (F.col("event_id") % 97).alias("value"))
+    return fold_edits(e)
+
+
+@query("""SELECT (event_id % 3)::INT AS level, sum(length(event_type))::BIGINT AS host, sum(length(props))::BIGINT AS written,
+  round((sum(length(event_type)) + sum(length(props)))::DOUBLE / sum(length(event_type)), 6) AS amplification FROM events GROUP BY 1""")
+def level_io_stats(spark, sf_dir):
+    host, written = F.sum(F.octet_length("event_type")), F.sum(F.octet_length("props"))
+    return table(spark, sf_dir, "events").groupBy((F.col("event_id") % 3).cast("int").alias("level")).agg(host.alias("host"), written.alias("written"), F.round((host + written) / host, 6).alias("amplification"))
+
+
+@query()
+def table_stats(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    t.cascade()
+    return t.stats()
+
+
+# programs
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey = 100")
+def key_finder(spark, sf_dir):
+    return P.key_finder(table(spark, sf_dir, "lineitem"), "l_orderkey", 100)
+
+
+@query("SELECT * FROM lineitem WHERE l_suppkey = 3 AND l_linenumber = 2")
+def key_finder_two(spark, sf_dir):
+    return P.key_finder_two(table(spark, sf_dir, "lineitem"), "l_suppkey", 3, "l_linenumber", 2)
+
+
+@query("SELECT l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-03-01'")
+def shipdate_filter(spark, sf_dir):
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("1995-01-01", "1995-03-01"))
+    return P.range_filter(table(spark, sf_dir, "lineitem"), "l_shipdate", low, high).select("l_orderkey", "l_shipdate", "l_quantity")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(text, 'the')")
+def grep_documents(spark, sf_dir):
+    return P.grep(table(spark, sf_dir, "documents"), "text", "the").select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}')")
+def grep_regex(spark, sf_dir):
+    return P.grep(table(spark, sf_dir, "documents"), "text", "[0-9]{4}", regex=True).select("doc_id")
+
+
+@query("SELECT sum(l_partkey)::BIGINT AS sum, max(l_partkey) AS max, min(l_partkey) AS min FROM lineitem")
+def stat32(spark, sf_dir):
+    return P.stat32(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("SELECT sum(l_partkey)::BIGINT AS sum, max(l_partkey) AS max, min(l_partkey) AS min FROM lineitem WHERE l_returnflag = 'R'")
+def filtered_stat32(spark, sf_dir):
+    return P.filtered_stat32(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_returnflag") == "R")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+  round(avg(l_quantity), 4) AS avg_qty, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def tpch_stat_q1(spark, sf_dir):
+    return P.pricing_summary(table(spark, sf_dir, "lineitem"), "1998-09-02")
+
+
+@query("""SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01'
+  AND l_discount BETWEEN 0.06 - 0.011 AND 0.06 + 0.011 AND l_quantity < 24""")
+def tpch_stat_q6(spark, sf_dir):
+    return P.revenue_change(table(spark, sf_dir, "lineitem"), "1994-01-01", "1995-01-01", 0.06, 24)
+
+
+_POINT = [0.25 if k % 2 else -0.25 for k in range(64)]
+
+
+@query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_POINT}::DOUBLE[]), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_POINT}::DOUBLE[]), vec_id LIMIT 10")
+def knn_topk(spark, sf_dir):
+    return P.knn(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", _POINT, 10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT * FROM part WHERE p_partkey IN (3, 17, 55, 1000000)")
+def point_lookup(spark, sf_dir):
+    return P.point_lookup(table(spark, sf_dir, "part"), "p_partkey", [3, 17, 55, 1_000_000])
+
+
+@query("SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 20)")
+def point_lookup_join(spark, sf_dir):
+    probes = table(spark, sf_dir, "lineitem").where("l_orderkey < 20").select(F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf_dir, "part")
+    return P.point_lookup(parts, "p_partkey", probes).select(*parts.columns)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def sort_topk(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def sort_all(spark, sf_dir):
+    return P.sort_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
+def queue_head(spark, sf_dir):
+    return P.first_smallest(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
+
+
+def _runs(spark, sf_dir) -> list[DataFrame]:
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(0).alias("run_value"))
+    return [e, e.where("event_id % 3 = 0").withColumn("run_value", F.lit(1)), e.where("event_id % 9 = 0").withColumn("run_value", F.lit(2))]
+
+
+_COMPACTED = "SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS run_value FROM events"
+
+
+@query(_COMPACTED)
+def compaction_merge(spark, sf_dir):
+    return P.compaction(_runs(spark, sf_dir), "event_id")
+
+
+@query(f"SELECT (event_id // 250)::INT AS table_no, count(*) AS entries, min(event_id) AS smallest_key, max(event_id) AS largest_key, sum(length(event_id::VARCHAR))::BIGINT AS raw_key_size, sum(length(event_type))::BIGINT AS raw_value_size FROM ({_COMPACTED}) GROUP BY 1")
+def sstable_boundaries(spark, sf_dir):
+    merged = P.compaction(_runs(spark, sf_dir), "event_id").withColumn("table_no", F.expr("cast(event_id div 250 as int)"))
+    return P.table_properties(merged, "table_no", "event_id", "event_type")
+
+
+@query(f"SELECT count(*) AS entries, count(DISTINCT event_id) AS keys, true AS in_order FROM ({_COMPACTED})")
+def compaction_split(spark, sf_dir):
+    tables = P.split_compaction(_runs(spark, sf_dir), "event_id", 300)
+    bounds = P.table_properties(tables, "table_no", "event_id", "event_type")
+    other = bounds.select(F.col("table_no").alias("other"), F.col("smallest_key").alias("low"))
+    crossed = bounds.join(other, F.col("other") == F.col("table_no") + 1, "left").agg(F.sum("entries").alias("entries"), F.bool_and(F.col("low").isNull() | (F.col("low") > F.col("largest_key"))).alias("in_order"))
+    return crossed.crossJoin(F.broadcast(tables.agg(F.countDistinct("event_id").alias("keys")))).select("entries", "keys", "in_order")
+
+
+@query()
+def block_crc32(spark, sf_dir):
+    return P.block_checksums(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def block_crc32c(spark, sf_dir):
+    return P.block_checksums(table(spark, sf_dir, "events"), "event_id", "props", castagnoli=True)
+
+
+@query("SELECT 'lang' AS column_name, count(*) FILTER (WHERE lang IS NULL) AS nulls FROM d UNION ALL SELECT 'n_chars', count(*) FILTER (WHERE n_chars IS NULL) FROM d".replace("FROM d", "FROM (SELECT nullif(lang, 'de') AS lang, CASE WHEN n_chars > 100 THEN n_chars END AS n_chars FROM documents)"))
+def null_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.nullif("lang", F.lit("de")).alias("lang"), F.when(F.col("n_chars") > 100, F.col("n_chars")).alias("n_chars"))
+    return P.null_counts(d)
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS i, o_orderstatus AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS m FROM orders)
+  SELECT k AS o_custkey, v AS value, (min(n) - 1)::INT AS first, count(*) AS length FROM s GROUP BY k, v, n - m""")
+def run_length(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]).alias("values"))
+    return P.run_length(own, "o_custkey", "values")
+
+
+@query("SELECT event_type, sum(value * 2) AS doubled FROM (SELECT event_type, round(value) AS value FROM events) GROUP BY 1")
+def program_udf(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.round("value").alias("value"))
+    return P.execute("map_batches", e, lambda pdf: pdf.assign(value=pdf["value"] * 2), "event_type string, value double").groupBy("event_type").agg(F.sum("value").alias("doubled"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def union_scan_count(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.unionByName(o.where("o_orderkey % 2 = 0")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_difference(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
