@@ -12,32 +12,34 @@ from pyspark.sql import functions as F
 from ..plans.spec import TableSpec
 
 
-def latest(deltas: DataFrame, spec: TableSpec) -> DataFrame:
-    """One delta for each row id.
+def latest(deltas: DataFrame, spec: TableSpec, also: tuple[str, ...] = ()) -> DataFrame:
+    """One delta for each row id (and each value of the columns in also).
 
     "replace": the last, whole. It is found by a partial aggregate before the shuffle, not by a window, so a row id
     with very many deltas costs no more than any other. "merge": each column's last value since the last tombstone."""
     if spec.delta_policy == "replace":
-        rest = [c for c in deltas.columns if c != "row_id"]
-        return deltas.groupBy("row_id").agg(F.max_by(F.struct(*rest), "seq").alias("d")).select("row_id", *(F.col(f"d.{c}") for c in rest))
+        rest = [c for c in deltas.columns if c != "row_id" and c not in also]
+        return deltas.groupBy("row_id", *also).agg(F.max_by(F.struct(*rest), "seq").alias("d")).select("row_id", *also, *(F.col(f"d.{c}") for c in rest))
     # a tombstone wipes what was before it; what comes after it doesn't bring the row back
     tombs = F.max(F.when(F.col("value_map") == 0, 1).otherwise(0)).alias("gone")
     changes = [F.max_by(F.when(F.getbit("value_map", F.lit(spec.bit(c))) == 1, F.col(c)), F.when(F.getbit("value_map", F.lit(spec.bit(c))) == 1, F.col("seq"))).alias(c) for c in spec.payload]
-    merged = deltas.groupBy("row_id").agg(tombs, F.max_by("part_key", "seq").alias("part_key"), F.bit_or("value_map").alias("value_map"), *changes, F.max("seq").alias("seq"))
+    merged = deltas.groupBy("row_id", *also).agg(tombs, F.max_by("part_key", "seq").alias("part_key"), F.bit_or("value_map").alias("value_map"), *changes, F.max("seq").alias("seq"))
     gone = F.col("gone") == 1
-    return merged.select("row_id", "part_key", F.when(gone, 0).otherwise(F.col("value_map")).alias("value_map"), *(F.when(~gone, F.col(c)).alias(c) for c in spec.payload), "seq")
+    return merged.select("row_id", *also, "part_key", F.when(gone, 0).otherwise(F.col("value_map")).alias("value_map"), *(F.when(~gone, F.col(c)).alias(c) for c in spec.payload), "seq")
 
 
 def is_tombstone(value_map: Column) -> Column:
     return F.coalesce(value_map == 0, F.lit(False))
 
 
-def apply_deltas(base: DataFrame, deltas: DataFrame, spec: TableSpec, deletes: bool = True, first_match: Column | None = None) -> DataFrame:
+def apply_deltas(base: DataFrame, deltas: DataFrame, spec: TableSpec, deletes: bool = True, first_match: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """base with its latest deltas applied: one join by row id, which Spark broadcasts if the deltas are small enough
     by its own check, and sorts by key otherwise. deletes=False keeps tombstoned rows. first_match: an order of base
-    rows; of several rows with one row id only the first takes the delta."""
-    d = latest(deltas, spec).select(F.col("row_id").alias("__rid"), F.col("value_map").alias("__map"), *(F.col(c).alias(f"__{c}") for c in spec.payload))
+    rows; of several rows with one row id only the first takes the delta. also: columns of both that must be equal too."""
+    d = latest(deltas, spec, also).select(F.col("row_id").alias("__rid"), *(F.col(c).alias(f"__also_{c}") for c in also), F.col("value_map").alias("__map"), *(F.col(c).alias(f"__{c}") for c in spec.payload))
     match = F.col(spec.row_id) == F.col("__rid")
+    for c in also:
+        match = match & (F.col(c) == F.col(f"__also_{c}"))
     if first_match is not None:
         base = base.withColumn("__first", F.row_number().over(Window.partitionBy(spec.row_id).orderBy(first_match)) == 1)
         match = match & F.col("__first")
@@ -48,6 +50,6 @@ def apply_deltas(base: DataFrame, deltas: DataFrame, spec: TableSpec, deletes: b
     return joined.select(*(changed.get(c, F.col(c)) for c in base.columns if c != "__first"))
 
 
-def unmatched(base: DataFrame, deltas: DataFrame, spec: TableSpec) -> DataFrame:
+def unmatched(base: DataFrame, deltas: DataFrame, spec: TableSpec, also: tuple[str, ...] = ()) -> DataFrame:
     """The latest deltas, tombstones too, whose row id no base row has; they go on to the child of their part_key."""
-    return latest(deltas, spec).join(base.select(F.col(spec.row_id).alias("row_id")), "row_id", "left_anti")
+    return latest(deltas, spec, also).join(base.select(F.col(spec.row_id).alias("row_id"), *also), ["row_id", *also], "left_anti")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.routing import child_of, partition_of, partitions_between
+from ..functions.routing import partition_of, partitions_between
 from ..operators.deltas import apply_deltas, unmatched
 from .spec import TableSpec
 from .store import Store
@@ -181,6 +181,16 @@ class LeveledTable:
         """Moves a partition's rows to its children one level down, with its deltas applied; deltas without a row go to
         the child of their part_key. Children in roll_children (at the last level only) begin a new generation:
         what they had leaves the map. Nothing to move is no new version."""
+        return self._move(level, [partition_no], roll_children, deletes)
+
+    def cascade(self, deletes: bool = True) -> int:
+        """Repartitions all partitions, level by level, each level in one job and one version, so that all rows are at the
+        last level; the version then."""
+        for level in range(self.spec.last_level):
+            self._move(level, [e["partition_no"] for e in self._map()["parts"].values() if e["level"] == level], (), deletes)
+        return self.versions()[-1]
+
+    def _move(self, level: int, parts: list[int], roll_children: tuple[int, ...], deletes: bool) -> int:
         s = self.spec
         if not 0 <= level < s.last_level:
             raise ValueError("level must be below the last level")
@@ -188,49 +198,46 @@ class LeveledTable:
             raise ValueError("only partitions of the last level are rolled")
         of = self._map()
         base = of["version"]
-        parent = self._entry(of, level, partition_no)
-        rows, deltas = self._rows(parent["data"]), self._deltas(parent["deltas"])
-        if rows is None and deltas is None:
+        parents = [e for e in (self._entry(of, level, p) for p in parts) if e["data"] or e["deltas"]]
+        if not parents:
             return base
-        number = lambda key: (F.lit(partition_no * s.spread) + child_of(key, level, s.spread, s.last_level)).cast("int")
-        read = sum(self.store.size(x) for x in (*parent["data"], *parent["deltas"]))
+        folders = {kind: [x for e in parents for x in e[kind]] for kind in ("data", "deltas")}
+        rows, deltas = self._rows(folders["data"]), self._deltas(folders["deltas"])
+        # deltas meet the rows of their own partition only
+        own = lambda df, key: df.withColumn("__part", partition_of(key, level, s.spread, s.last_level))
+        down = lambda df, key: df.drop("__part").withColumn("partition_no", partition_of(key, level + 1, s.spread, s.last_level))
+        rows = own(rows, s.partition_key) if rows is not None else None
+        deltas = own(deltas, "part_key") if deltas is not None else None
         new: dict[str, dict] = {"data": {}, "deltas": {}}
         if rows is not None:
-            moved = apply_deltas(rows, deltas, s, deletes) if deltas is not None else rows
-            new["data"] = self._written(self._write(moved.withColumn("partition_no", number(s.partition_key)), "data"))
+            moved = apply_deltas(rows, deltas, s, deletes, also=("__part",)) if deltas is not None else rows
+            new["data"] = self._written(self._write(down(moved, s.partition_key), "data"))
         if deltas is not None:
-            rest = unmatched(rows, deltas, s) if rows is not None else deltas
-            new["deltas"] = self._written(self._write(rest.withColumn("partition_no", number("part_key")), "deltas"))
-        for child in range(s.spread):
-            part = partition_no * s.spread + child
-            e = self._entry(of, level + 1, part)
-            folder, n, size = new["data"].get(part, (None, 0, 0))
-            if child in roll_children:
-                e |= {"data": [], "rows": 0, "size": 0, "generation": e["generation"] + 1}
-            if folder:
-                e["data"].append(folder)
-                e["rows"] += n
-                e["size"] += size
-            if part in new["deltas"]:
-                e["deltas"].append(new["deltas"][part][0])
-            self._count(of, level + 1, "written", size + new["deltas"].get(part, (None, 0, 0))[2])
-        if level == 0:
-            parent["consumed"] += len(parent["data"])
-        else:
-            parent["generation"] += 1
-        parent |= {"data": [], "deltas": [], "rows": 0, "size": 0}
-        self._count(of, level, "read", read)
+            rest = unmatched(rows, deltas, s, ("__part",)) if rows is not None else deltas
+            new["deltas"] = self._written(self._write(down(rest, "part_key"), "deltas"))
+        for parent in parents:
+            self._count(of, level, "read", sum(self.store.size(x) for x in (*parent["data"], *parent["deltas"])))
+            for child in range(s.spread):
+                part = parent["partition_no"] * s.spread + child
+                e = self._entry(of, level + 1, part)
+                folder, n, size = new["data"].get(part, (None, 0, 0))
+                if child in roll_children:
+                    e |= {"data": [], "rows": 0, "size": 0, "generation": e["generation"] + 1}
+                if folder:
+                    e["data"].append(folder)
+                    e["rows"] += n
+                    e["size"] += size
+                if part in new["deltas"]:
+                    e["deltas"].append(new["deltas"][part][0])
+                self._count(of, level + 1, "written", size + new["deltas"].get(part, (None, 0, 0))[2])
+            if level == 0:
+                parent["consumed"] += len(parent["data"])
+            else:
+                parent["generation"] += 1
+            parent |= {"data": [], "deltas": [], "rows": 0, "size": 0}
         self._publish(base, of)
         return base + 1
 
-    def cascade(self, deletes: bool = True) -> int:
-        """Repartitions every partition level by level, so that all rows are at the last level; the version then."""
-        for level in range(self.spec.last_level):
-            for e in list(self._map()["parts"].values()):
-                if e["level"] == level and (e["data"] or e["deltas"]):
-                    self.repartition(level, e["partition_no"], deletes=deletes)
-        return self.versions()[-1]
-
     def vacuum(self, keep: int = 2) -> int:
         """Drops versions before the last `keep` that no snapshot pins, and folders that no kept version names; the number
         of folders. Not while a writer works: its folders aren't named yet."""
