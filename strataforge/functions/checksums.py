@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 @functools.cache
@@ -26,7 +27,7 @@ def crc32c_of(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of each value; null for null."""
     return data.map(lambda x: None if x is None else crc32c_of(bytes(x)))

@@ -29,12 +29,12 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "|") -> Da
 def fixed_width(spark: SparkSession, path: str, row: list[tuple[str, str, int]]) -> DataFrame:
     """Rows of fixed-width binary files, split by the JVM at the record length."""
     width = sum(n for _, _, n in row)
-    files = spark.read.format("binaryFile").load(path).where(F.length("content") > 0)
-    rows = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("content") / width - 1), lambda k: F.substring(F.col("content"), (k * width + 1).cast("int"), width))).alias("row"))
+    files = spark.read.format("binaryFile").load(path).where(F.length("content") >= width)
+    rows = files.select(F.explode(F.transform(F.sequence(F.lit(0), (F.length("content") / width).cast("int") - 1), lambda k: F.substring(F.col("content"), (k * width + 1).cast("int"), width))).alias("row"))
     columns, at = [], 1
     for name, kind, n in row:
         data = F.substring("row", at, n)
-        columns.append((data if kind == "bytes" else F.conv(F.hex(F.reverse_bytes(data) if hasattr(F, "reverse_bytes") else _reversed(data, n)), 16, 10).cast("long")).alias(name))
+        columns.append((data if kind == "bytes" else F.conv(F.hex(_reversed(data, n)), 16, 10).cast("long")).alias(name))
         at += n
     return rows.select(*columns)
 
