@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_rows(df: DataFrame) -> DataFrame:
+    """df, in whose session Python gets 4,000 rows at a time and not Spark's 10,000, which for texts of some thousand
+    characters fill a worker's memory. Another setting than Spark's own is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "4000")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

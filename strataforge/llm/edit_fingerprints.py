@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import column
+from .common import column, text_rows
 
 PERIOD = 1024
 #: Samples over the text's own scale, and as many over half of it.
@@ -236,7 +237,7 @@ def fingerprints_of_edits(documents: DataFrame, parts: int | None = None) -> Dat
     columns are ignored."""
     spark = documents.sparkSession
     n = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = in_parts(documents, n)
+    cut = in_parts(text_rows(documents), n)
     heads = sorted((r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in cut.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head")).collect())
     table = [(part, own, tie, heads[k - 1][0]) for k, (part, own, tie) in enumerate(heads)]
     lists = F.broadcast(spark.createDataFrame(table, "part long, head_id long, head_tie long, before long"))
@@ -280,11 +281,11 @@ def near_texts(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame, Dat
     least_of = bands.groupBy("band").agg(F.min(F.struct("digest", "print")).alias("head"))
     pairs = bands.join(least_of, "band").where("digest <> head.digest").select("digest", "print", F.col("head.digest").alias("other"), F.col("head.print").alias("other_print")).distinct()
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def alike(a, b):
         return a.combine(b, lambda x, y: likeness(read_print(x), read_print(y)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def similar(a, b):
         return a.combine(b, lambda x, y: 1 - edit_distance(x, y) / max(len(x), len(y), 1))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold, steps
+from .common import column, fold, steps, text_rows
 
 ORDERS = 3
 BUCKETS = 1 << 16
@@ -129,7 +129,7 @@ def train(documents: DataFrame, training: Column, sample: int = 3000, smooth: fl
     return Model(languages, table, prior)
 
 
-def _predict(shared):
+def _predict(shared, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -139,16 +139,16 @@ def _predict(shared):
                 lang, score = model.predict(part)
                 langs += lang
                 scores += score
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
 
-def predicted(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred and score appended; columns of these names are replaced."""
-    rows = documents.drop("lang_pred", "score")
+def predicted(documents: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """documents with the prediction and its score appended; columns of these names are replaced."""
+    rows = text_rows(documents).drop(*names)
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model), names), f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def training_fold() -> Column:
@@ -166,6 +166,5 @@ def identify(documents: DataFrame, sample: int = 3000) -> DataFrame:
 
 def in_known_language(documents: DataFrame, sample: int = 3000, least: float = 0.5) -> DataFrame:
     """The rows with a predicted language and a score of `least` or more, with their own columns."""
-    held = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
-    found = predicted(held, train(documents, training_fold(), sample))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = predicted(documents, train(documents, training_fold(), sample), ("__language", "__score"))
+    return found.where((F.col("__language") != "und") & (F.col("__score") >= least)).select(*(f"`{c}`" for c in documents.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored
+from .common import column, stored, text_rows
 
 #: Fixed value: the generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
 GOLAY = 0b101011100011
@@ -198,7 +198,7 @@ def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, ke
     Null and empty texts have the fingerprint 0 and are linked like any other; null keys and repeated rows stay;
     an empty table gives no rows; columns not in keep are ignored; a text of any length counts whole."""
     fields = {x.name: x.dataType.simpleString() for x in documents.schema.fields}
-    prints = stored(documents.select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
+    prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
     nodes = prints.select("fp").distinct()
     roots = components(links(nodes, bits))
     return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))

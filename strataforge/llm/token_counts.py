@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import new_folder, steps
+from .common import new_folder, steps, text_rows
 
 CACHE = "tokenizer_digest string, content_digest string, n_tokens long"
 
@@ -62,7 +62,7 @@ def count_tokens(documents: DataFrame, cache: str | None = None, tokenizer: str
     version = tokenizer_digest(tokenizer)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digested = documents.select("doc_id", text.alias("text")).withColumn("content_digest", F.sha2("text", 256))
+    digested = text_rows(documents).select("doc_id", text.alias("text")).withColumn("content_digest", F.sha2("text", 256))
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
     misses = digested.select("content_digest", "text").join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("text").alias("text"))
     misses.mapInArrow(_count(tokenizer, version), CACHE).write.mode("append").parquet(cache)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, steps
+from .common import column, steps, text_rows
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQIH6x8s")
@@ -250,7 +250,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     their texts' digests; an empty table gives no shard; further columns are ignored."""
     spark = documents.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    rows = text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return sorted(dealt.mapInArrow(_write(folder, tokenizer, end, width), MANIFEST).collect(), key=lambda r: r["shard"])
 
