@@ -66,15 +66,18 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text; the caller keeps the texts of one call to some MB."""
+        if not any(len(x) > 2 * PART for x in texts):
+            return self._encode(texts)
+        cut = [[*parts(x, PART)] for x in texts]
+        found = iter([ids for own in cut for part in own for ids in self._encode([part])])
+        return [b"".join(next(found) for _ in own) for own in cut]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        long = [k for k, text in enumerate(texts) if len(text) > 2 * PART]
-        for k in long:
-            out[k] = b"".join(self.encode([part])[0] for part in parts(texts[k]))
-        short = [k for k, text in enumerate(texts) if len(text) <= 2 * PART] if long else range(len(texts))
-        unsafe = pc.match_substring_regex(pa.array([texts[k] for k in short], pa.string()), _UNSAFE).to_pylist()
-        for k in (k for k, x in zip(short, unsafe) if x):
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.string()), _UNSAFE).to_pylist()
+        for k in (k for k, x in enumerate(unsafe) if x):
             out[k] = b"".join(self.lookup(CHUNK.findall(texts[k])))
-        plain = [k for k, x in zip(short, unsafe) if not x]
+        plain = [k for k, x in enumerate(unsafe) if not x]
         if plain:
             for k, ids in zip(plain, self._plain([texts[k].replace("\n", " \n") for k in plain])):
                 out[k] = ids
