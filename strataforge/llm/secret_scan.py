@@ -131,11 +131,12 @@ def redacted(documents: DataFrame, ledger: str | None = None, mark: str = "[SECR
         return F.struct(F.greatest(state["position"], s["end"]).alias("position"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
 
     masked = F.aggregate("__spans", F.struct(F.lit(0).alias("position"), F.lit("").alias("out")), take, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["position"] + 1, F.length("text"))))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)
-    changed = {"text": text.alias("text")}
+    # n_chars is taken from the finished text, one projection later
+    done = rows.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked))
+    changed = {"text": F.col("__text").alias("text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(documents.schema["n_chars"].dataType)).alias("n_chars")
-    return rows.select(*(changed.get(c, F.col(f"`{c}`")) for c in documents.columns))
+        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast(documents.schema["n_chars"].dataType)).alias("n_chars")
+    return done.select(*(changed.get(c, F.col(f"`{c}`")) for c in documents.columns))
 
 
 def _sql_spans(rule: Rule, order: int) -> str:
