@@ -75,7 +75,10 @@ def measured(documents: DataFrame, *kept: str) -> DataFrame:
     places = F.col("places")
     # a window covers three words, or as many as lie before the next repeated window
     covered = F.aggregate(F.transform("places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))), zero, lambda n, x: n + x)
-    return repeated.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(kept)), *counts, F.coalesce(covered, zero).alias("n_repeat_words"))
+    # one row is packed and unpacked, since no filter is moved below that: a condition moved down through the
+    # projections would have each measure's arrays made anew wherever it names them
+    found = F.struct(*(F.col(f"__{k}").alias(c) for k, c in enumerate(kept)), *counts, F.coalesce(covered, zero).alias("n_repeat_words"))
+    return repeated.select(F.inline(F.array(found)))
 
 
 def passes(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
@@ -105,10 +108,7 @@ def quality(documents: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS
 def good_documents(documents: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows of documents that the rules keep, with their columns; no shuffle."""
     held = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
-    # exploding none or one row, not a filter: the optimizer would move a filter's condition down through the
-    # projections and have each measure's arrays made anew wherever the condition names them
-    kept = F.when(~F.expr(BASE_FAILED) & passes(thresholds), F.array("row"))
-    return measured(held, "row").select(F.explode(kept).alias("row")).select("row.*")
+    return measured(held, "row").where(~F.expr(BASE_FAILED) & passes(thresholds)).select("row.*")
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
