@@ -215,7 +215,7 @@ def in_parts(documents: DataFrame, n: int) -> DataFrame:
     cuts = rows.select(at.alias("at")).approxQuantile("at", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     hot = {x: cuts.count(x) for x in set(cuts) if cuts.count(x) > 1}
     inner = sorted({*cuts, *(float(np.nextafter(x, np.inf)) for x in hot)})
-    splits = [-float("inf"), *inner, float("inf")]
+    splits = [-float("inf"), *(inner or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("at", F.coalesce(at, F.lit(float(-(2**63))))))
     share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
     pieces = F.lit(1)
