@@ -48,7 +48,7 @@ class ChunkEncoder:
     the unknown words alone. The ids of all words are gathered by numpy. At most `kept` words are held; when they
     are too many, the older half goes."""
 
-    def __init__(self, encode_distinct: Callable[[list[str]], list[bytes]], kept: int = 1_500_000):
+    def __init__(self, encode_distinct: Callable[[list[str]], list[bytes]], kept: int = 800_000):
         self.encode_distinct = encode_distinct
         self.kept = kept
         self.loose: dict[str, bytes] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python worker holds as separate words.
-STEP_CHARS = 10_000_000
+STEP_CHARS = 4_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
