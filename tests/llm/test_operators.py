@@ -266,6 +266,25 @@ def test_guesses_are_those_of_a_loop():
         assert (states[k] >= 0) == bool(found) and (not found or held[k] == (own[found[0]] == own[-1]))
 
 
+def test_words_and_letters_done_once_are_those_done_one_by_one():
+    r = random.Random(4)
+    texts = ["".join(r.choice("abAB \t\n\x0b\x0c\r\x1c\x85\u00a0\u00e9") for _ in range(r.randrange(30))) for _ in range(2000)] + ["", " "]
+    words, number, sizes = lm_mixing.coded_words(texts)
+    flat = iter(number.tolist())
+    assert [[words[next(flat)] for _ in range(n)] for n in sizes.tolist()] == [*map(lm_mixing.words_of, texts)]
+    lexicon = lm_mixing.Lexicon({b"\n": 1}, np.array([1, 1]), lm_mixing.Code([1, 1]), lm_mixing.Code([*range(1, 257)]), 1, 1)
+    mixer = lm_mixing.Mixer(4, np.random.RandomState(5).randint(0, 9, (2, 4, lm_mixing.SLOTS)).astype(np.float32))
+    model = lm_mixing.Model(lexicon, mixer, mixer, np.zeros(1))
+    for own in (sorted(words), words, [*words[:3]] * 2, []):
+        assert np.allclose(model.letter_costs(own), mixer.costs(*lexicon.letter_bits(own), len(own)), atol=1e-9)
+
+
+def test_order_of_large_and_small_numbers_is_the_same():
+    first, second = np.random.RandomState(6).randint(0, 5, (2, 300))
+    small, large = lm_mixing.alike(first, second), lm_mixing.alike(first << 40, second << 20)
+    assert (small[0] == large[0]).all() and (small[1] == large[1]).all() and (small[0] == np.lexsort((second, first))).all()
+
+
 def test_codes_are_prefix_free_and_probabilities_sum_to_one():
     code = lm_mixing.Code([5, 1, 9, 3, 3])
     assert sum(0.5**x for x in code.sizes) == 1
