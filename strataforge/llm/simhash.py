@@ -98,7 +98,8 @@ def local_stars(prints: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int
         root, waiting = waiting[0], waiting[1:]
         reached, k = [root], 0
         while k < len(reached) and len(waiting):
-            near = np.bitwise_count(waiting ^ reached[k]) <= bits
+            # of signed numbers numpy counts the bits of the absolute value
+            near = np.bitwise_count((waiting ^ reached[k]).view(np.uint64)) <= bits
             if near.any():
                 reached += waiting[near].tolist()
                 waiting = waiting[~near]

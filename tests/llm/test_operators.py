@@ -505,6 +505,31 @@ def test_links_of_large_runs_in_blocks(spark):
         assert {x: found.get(x, x) for x in prints} == {x: find(x) for x in prints}
 
 
+def test_local_stars_count_all_64_bits():
+    r = random.Random(10)
+    for _ in range(20):
+        group = {r.getrandbits(64)}
+        while len(group) < 50:
+            x = r.choice(sorted(group))
+            for bit in r.sample(range(64), r.randint(1, 3)) if r.random() < 0.5 else (63, r.randrange(63)):
+                x ^= 1 << bit
+            group.add(x)
+        prints = np.array(sorted(group), np.uint64).view(np.int64)
+        root = {x: x for x in prints.tolist()}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in itertools.combinations(prints.tolist(), 2):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        found = {x: own for members, own in simhash.local_stars(prints, 3) for x in members.tolist()}
+        assert {x: found.get(x, x) for x in prints.tolist()} == {x: find(x) for x in prints.tolist()}
+
+
 @here
 def test_groups_against_brute_force(spark, edge, nothing):
     d = spark.read.parquet(f"{DIR}/documents.parquet")
