@@ -45,9 +45,17 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
+#: What redaction takes out beyond the reported kinds: a private key whole, to its end line, or if that is missing (the
+#: text ends or another block begins before it) through its headers and base64 lines.
+KEY_BLOCK = Rule(
+    "keyblock",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:[ \t]*+(?:\r?\n|\\n)[A-Za-z0-9+/]++={0,2}[ \t]*+(?=[\r\n\\]|\Z))?+)",
+)
+REDACTED = (*RULES, KEY_BLOCK)
 #: A rule's text must hold this for a match to be long enough; a quick test before the full pattern.
 QUICK = {"hex": r"[0-9a-f]{16}", "forge": r"gh[pousr]_[A-Za-z0-9]{36}"}
-LITERAL = {"access": "AKIA", "pem": "-----BEGIN ", "webtoken": "eyJ"}
+LITERAL = {"access": "AKIA", "pem": "-----BEGIN ", "keyblock": "-----BEGIN ", "webtoken": "eyJ"}
 SPAN = "array<struct<start:int,at:int,end:int,kind:string>>"
 LEDGER = f"content_digest string, rules array<string>, spans {SPAN}"
 
@@ -119,9 +127,9 @@ def find_secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
 
 
 def redacted(documents: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """documents with each span (overlapping ones as one) replaced by the mark in text, and n_chars set anew where
-    the text changed. The other columns, and texts without findings, stay as they are."""
-    found = scan(documents, ledger or new_folder(documents.sparkSession, "blob-ledger")).select("content_digest", F.col("spans").alias("__spans"))
+    """documents with each span (overlapping ones as one; of a private key also the body) replaced by the mark in text,
+    and n_chars set anew where the text changed. The other columns, and texts without findings, stay as they are."""
+    found = scan(documents, ledger or new_folder(documents.sparkSession, "blob-ledger"), REDACTED).select("content_digest", F.col("spans").alias("__spans"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = documents.withColumn("content_digest", digest).join(found, "content_digest", "left")
 

@@ -200,6 +200,27 @@ def test_redaction(spark, edge):
     assert secret_scan.redacted(edge).columns == edge.columns
 
 
+def test_redaction_takes_the_whole_private_key(spark, tmp_path):
+    r = random.Random(12)
+    line = lambda n: "".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    body = "\n".join(line(64) for _ in range(20))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {begin}\n{body}\n{line(20)}==\n{end} z": "a [SECRET] z",
+        f"a {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n{end}\nz": "a [SECRET]\nz",
+        f"a {begin}\n{body}\n{line(10)}\nno end here": "a [SECRET]\nno end here",
+        f"{begin}\n{body}": "[SECRET]",
+        f"{begin}\n{body}\nplain words\n{begin}\n{body}\n{end}": "[SECRET]\nplain words\n[SECRET]",
+        f"{begin}\\n{line(64)}\\n{line(64)}\\n{end}": "[SECRET]",
+        f"{begin}\n" + "\n".join(line(64) for _ in range(5000)) + f"\n{end} z": "[SECRET] z",
+        f"{begin} prose about keys": "[SECRET] prose about keys",
+    }
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    assert [x.text for x in secret_scan.redacted(df, ledger).orderBy("doc_id").collect()] == [*texts.values()]
+    assert [x.spans for x in secret_scan.find_secrets(df, ledger).orderBy("doc_id").collect()] == [x.spans for x in secret_scan.find_secrets(df).orderBy("doc_id").collect()]
+
+
 # op4
 
 
