@@ -275,6 +275,24 @@ def test_scores_of_few_and_no_rows(spark, edge, nothing):
     assert lm_mixing.score_documents(nothing).count() == 0
 
 
+def test_mixers_learn_from_all_training_documents(spark):
+    r = random.Random(13)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(4)) for _ in range(4000)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    _, model = lm_mixing.train(df, F.lit(True), head=12)
+    tokens = lm_mixing.tokens_of(texts, model.lexicon)
+    fresh = ~lm_mixing.again(tokens)[1]
+    rare = [tokens.words[k] for k in tokens.number[fresh & (tokens.leaf == 0)]]
+    assert rare and model.words.learned == model.lexicon.code.sizes[tokens.leaf[fresh]].sum()
+    assert model.letters.learned == len(model.lexicon.letter_bits(rare)[1])
+    one, two, all_ = lm_mixing.Mixer(2), lm_mixing.Mixer(2), lm_mixing.Mixer(2)
+    one.weights[:], two.weights[:] = 1, 2
+    parts = one.sums(), two.sums()
+    parts[0][7, :2], parts[1][7, :2] = (1, 1), (3, 3)
+    all_.take(one.told(parts[0]) + two.told(parts[1]))
+    assert np.allclose(all_.weights[7], 1.75) and all_.learned == 4 and np.allclose(all_.weights[6], lm_mixing.Mixer(2).weights[6])
+
+
 def test_guesses_are_those_of_a_loop():
     r = random.Random(3)
     lexicon = lm_mixing.Lexicon({b"\n": 1}, np.array([1, 1]), lm_mixing.Code([1, 1]), lm_mixing.Code([1] * 256), 1, 1)
