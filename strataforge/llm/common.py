@@ -15,10 +15,12 @@ STEP_CHARS = 4_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset (tests, one
-    machine) a temporary folder is taken and set for the session."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset and Spark runs on this machine
+    alone (tests), a temporary folder is taken and set for the session; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -48,6 +50,47 @@ def text_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows that may be broadcast as marks or heavy keys: some MB at most.
+MARKS = 100_000
+HEAVY = 1000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined by key to table, which has each key once. counted: a stored table with the keys of rows (none: rows
+    is one itself), from which the heavy keys are found.
+
+    A key may hold a third of the rows. Keys with more than a thousandth of them are fewer than a thousand, however
+    many rows there are: what table has for these is broadcast and no row of theirs moves. All others are joined by
+    a shuffle, of which no key is more than a thousandth."""
+    counted = rows if counted is None else counted
+    total = counted.count()
+    heavy = stored(counted.groupBy(key).count().where((F.col("count") * HEAVY > total) & F.col(key).isNotNull()).select(key), "heavy-keys")
+    marked = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), key, how)
+    return marked.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(table, key, how))
+
+
+def fetch_texts(digested: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, one row a digest: (content_digest, stand_in, ...), with the text of that digest in place of stand_in, the
+    doc_id whose text is taken. digested: (doc_id, text, content_digest).
+
+    Up to MARKS wanted digests (counted, some MB) are broadcast, and no other text than theirs moves. Beyond that the
+    texts are dealt by digest and doc_id and met there; rows equal in both are one, without a further shuffle."""
+    wanted = stored(wanted, "wanted")
+    own = F.coalesce(F.col("doc_id"), F.lit(0)).alias("stand_in")
+    wanted = wanted.withColumn("stand_in", F.coalesce("stand_in", F.lit(0)))
+    if wanted.count() <= MARKS:
+        wanted = F.broadcast(wanted)
+    met = digested.select("content_digest", own, "text").join(wanted, ["content_digest", "stand_in"])
+    return met.dropDuplicates(["content_digest", "stand_in"]).drop("stand_in")
+
+
+def tasks_for(rows: DataFrame, text: str = "text", each: int = 64 << 20) -> int:
+    """Into how many tasks the texts of rows should be dealt: by their bytes, and as many as the session has shuffle
+    partitions at least."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import column, fold, steps, text_rows
 
 ORDERS = 3
 BUCKETS = 1 << 16
-#: A table of more languages would no longer be small enough to broadcast.
+#: How many labels are learned at most, those of the most rows: the table that is broadcast has 256 KB for each.
 MOST_LANGUAGES = 500
 
 
@@ -107,17 +108,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([x[:-1].tobytes() for x in found.values()], pa.binary())], ["lang", "counts"])
 
 
-def train(documents: DataFrame, training: Column, sample: int = 3000, smooth: float = 0.1) -> Model:
-    """From text and lang of the rows for which `training` is true and lang and text aren't null."""
+def train(documents: DataFrame, training: Column, sample: int = 3000, smooth: float = 0.1, most: int = MOST_LANGUAGES) -> Model:
+    """From text and lang of the rows for which `training` is true and lang and text aren't null. Of more than `most`
+    labels, as a dirty column may have, those with the most rows are learned (ties: by name); the rest teach nothing."""
     labelled = documents.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0))
     rates = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(1 << 20)) < rates[F.col("lang")] * (1 << 20))
+    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(1 << 20)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 20))
     # some thousand documents a language: a few tasks count them, each sends a row a language
     rows = chosen.select("text", "lang").repartition(6).mapInArrow(_count, "lang string, counts binary").collect()
     counts = np.full((len(languages), BUCKETS), smooth)
@@ -147,8 +147,8 @@ def _predict(shared, names: tuple[str, str]):
 def predicted(documents: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents with the prediction and its score appended; columns of these names are replaced."""
     rows = text_rows(documents).drop(*names)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model), names), f"{fields}, {names[0]} string, {names[1]} double")
+    schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return rows.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model), names), schema)
 
 
 def training_fold() -> Column:
@@ -165,6 +165,11 @@ def identify(documents: DataFrame, sample: int = 3000) -> DataFrame:
 
 
 def in_known_language(documents: DataFrame, sample: int = 3000, least: float = 0.5) -> DataFrame:
-    """The rows with a predicted language and a score of `least` or more, with their own columns."""
-    found = predicted(documents, train(documents, training_fold(), sample), ("__language", "__score"))
-    return found.where((F.col("__language") != "und") & (F.col("__score") >= least)).select(*(f"`{c}`" for c in documents.columns))
+    """The rows with a predicted language and a score of `least` or more, with their own columns.
+
+    Rows whose text is null, empty or without a letter have no language and go, as do all if no row is labelled; null
+    keys and repeated rows are judged like any other; a text of any length counts whole; an empty table stays empty.
+    The row travels as one struct, so that columns of any name, also those of a prediction, come through unchanged."""
+    held = documents.select("text", F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    found = predicted(held, train(documents, training_fold(), sample))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -2,9 +2,10 @@
 
 Every version of every document is addressed by its content (SHA-256), so equal texts are one blob however many
 paths and versions hold it. The ledger is a Parquet table in a shared folder with one row for each scan of a
-blob: its digest, the versions of the rules that were run, and the spans they found. A scan takes one text of
-each digest, runs only those rules whose version the ledger lacks for it, appends, and joins the findings back
-to all rows by digest. A changed rule has a new version and is run alone.
+blob: its digest, the versions of the rules that were run, and the spans they found, each with its rule's version.
+A scan finds on digests alone which pairs of blob and rule version the ledger lacks, fetches the text of one row
+for each such blob, runs only those rules, appends, and joins the findings back to all rows by digest. A changed
+rule has a new version: it is run alone, and spans of the versions before it stay in the ledger but aren't told.
 
 Positions: splitting a text by a pattern gives the gaps between its leftmost non-overlapping matches; running
 sums of the lengths of gaps and matches are the places, in code points. Only texts with a match are split.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import MARKS, fetch_texts, join_unique, new_folder, stored
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,12 @@ REDACTED = (*RULES, KEY_BLOCK)
 #: A rule's text must hold this for a match to be long enough; a quick test before the full pattern.
 QUICK = {"hex": r"[0-9a-f]{16}", "forge": r"gh[pousr]_[A-Za-z0-9]{36}"}
 LITERAL = {"access": "AKIA", "pem": "-----BEGIN ", "keyblock": "-----BEGIN ", "webtoken": "eyJ"}
-SPAN = "array<struct<start:int,at:int,end:int,kind:string>>"
+SPAN = "array<struct<start:int,end:int,kind:string,version:string>>"
 LEDGER = f"content_digest string, rules array<string>, spans {SPAN}"
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, at, end, kind>> of the rule's matches in text; at is the kind's place in the order."""
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """array<struct<start, end, kind, version>> of the rule's matches in text."""
     pattern = F.lit(rule.pattern)
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     judged = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
@@ -70,7 +71,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     def take(state: Column, x: Column) -> Column:
         start = state["position"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("at"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")))
         kept = F.when(F.length(x["judged"]) >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("position"), kept.alias("spans"))
 
@@ -80,28 +81,31 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(likely, spans).otherwise(F.array().cast(SPAN))
 
 
-def scan(documents: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scans what the ledger in that folder lacks, and adds it; (content_digest, spans) of every blob with findings
-    of these rules, spans in order of start and kind. A run that dies before its write is whole leaves the ledger
-    as it was."""
+def scan(documents: DataFrame, digests: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in that folder lacks, and adds it; (content_digest, spans) of every blob with findings of
+    these versions of these rules, spans (start, at, end, kind) in order of start and of the rules (at). digests: the
+    stored (doc_id, content_digest) of the documents. A run that dies before its write is whole leaves the ledger as
+    it was."""
     spark = documents.sparkSession
     versions = F.array(*(F.lit(r.version) for r in rules))
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("content_digest").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blobs = documents.select(F.sha2(text, 256).alias("content_digest"), text.alias("text")).groupBy("content_digest").agg(F.first("text").alias("text"))
-    due = blobs.join(seen, "content_digest", "left").withColumn("rules", F.array_except(versions, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("rules") > 0)
-    found = F.concat(*(F.when(F.array_contains("rules", r.version), rule_spans(F.col("text"), r, k)).otherwise(F.array().cast(SPAN)) for k, r in enumerate(rules)))
-    due.select("content_digest", "rules", found.alias("spans")).write.mode("append").parquet(ledger)
-    kinds = [r.kind for r in rules]
-    held = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0)
-    # a blob is scanned again when rules change: its rows add up; a kind whose rule changed counts by its last rule only
-    current = F.filter("spans", lambda s: s["kind"].isin(kinds))
-    return held.groupBy("content_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(current)))).alias("spans"))
+    blobs = digests.groupBy("content_digest").agg(F.min("doc_id").alias("stand_in")).join(seen, "content_digest", "left")
+    due = blobs.select("content_digest", "stand_in", F.array_except(versions, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+    texts = fetch_texts(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_digest", F.sha2("text", 256)), due)
+    found = F.concat(*(F.when(F.array_contains("rules", r.version), rule_spans(F.col("text"), r)).otherwise(F.array().cast(SPAN)) for r in rules))
+    texts.select("content_digest", "rules", found.alias("spans")).write.mode("append").parquet(ledger)
+    order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.version, k)))
+    own = F.filter("spans", lambda s: s["version"].isin([r.version for r in rules]))
+    told = F.transform(own, lambda s: F.struct(s["start"].alias("start"), order[s["version"]].alias("at"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # a blob is scanned again when rules change, and by two runs at a time: its rows add up
+    held = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0).select("content_digest", told.alias("spans"))
+    return held.where(F.size("spans") > 0).groupBy("content_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def digested(documents: DataFrame, *kept: str) -> DataFrame:
-    return documents.select(*kept, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("content_digest"))
+def digested(documents: DataFrame) -> DataFrame:
+    """(doc_id, content_digest) of every row, stored."""
+    return stored(documents.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("content_digest")), "digests")
 
 
 def _is(kind: str):
@@ -118,33 +122,43 @@ def find_secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
 
     Null text is empty and has no finding; null keys and repeated rows stay; an empty table gives no rows; further
     columns are ignored; equal starts go in the order of the kinds."""
-    found = scan(documents, ledger or new_folder(documents.sparkSession, "blob-ledger"))
+    rows = digested(documents)
+    found = scan(documents, rows, ledger or new_folder(documents.sparkSession, "blob-ledger"))
     base = [r.kind for r in RULES if r.base]
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in base]
     told = found.select("content_digest", *counts, _told(F.filter("spans", lambda s: s["kind"].isin(base))).alias("base"), _told(F.col("spans")).alias("spans"))
-    rows = digested(documents, "doc_id").join(told, "content_digest", "left")
-    return rows.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return join_unique(rows, told, "content_digest", "left").select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def redacted(documents: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """documents with each span (overlapping ones as one; of a private key also the body) replaced by the mark in text,
-    and n_chars set anew where the text changed. The other columns, and texts without findings, stay as they are."""
-    found = scan(documents, ledger or new_folder(documents.sparkSession, "blob-ledger"), REDACTED).select("content_digest", F.col("spans").alias("__spans"))
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = documents.withColumn("content_digest", digest).join(found, "content_digest", "left")
+    and n_chars, where there is such a column, set anew where the text changed.
+
+    All rows stay, repeated ones and those with null keys or texts too; texts without findings, and other columns of
+    whatever name, come through unchanged (the row travels as one struct); a text of any length counts whole; an empty
+    table stays empty. Findings are broadcast if they have MARKS spans at most, counted; or else rows meet them by
+    digest."""
+    digests = digested(documents)
+    found = stored(scan(documents, digests, ledger or new_folder(documents.sparkSession, "blob-ledger"), REDACTED), "findings")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_digest"))
+    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MARKS:
+        rows = rows.join(F.broadcast(found), "content_digest", "left")
+    else:
+        rows = join_unique(rows, found, "content_digest", "left", digests)
+    text = F.col("row.text")
 
     def take(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["position"]
-        more = F.concat(state["out"], F.substring(F.col("text"), state["position"] + 1, s["start"] - state["position"]), F.lit(mark))
+        more = F.concat(state["out"], F.substring(text, state["position"] + 1, s["start"] - state["position"]), F.lit(mark))
         return F.struct(F.greatest(state["position"], s["end"]).alias("position"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
 
-    masked = F.aggregate("__spans", F.struct(F.lit(0).alias("position"), F.lit("").alias("out")), take, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["position"] + 1, F.length("text"))))
+    masked = F.aggregate("spans", F.struct(F.lit(0).alias("position"), F.lit("").alias("out")), take, lambda x: F.concat(x["out"], F.substring(text, x["position"] + 1, F.length(text))))
     # n_chars is taken from the finished text, one projection later
-    done = rows.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked))
-    changed = {"text": F.col("__text").alias("text")}
+    done = rows.select("row", "spans", F.when(F.col("spans").isNull(), text).otherwise(masked).alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast(documents.schema["n_chars"].dataType)).alias("n_chars")
-    return done.select(*(changed.get(c, F.col(f"`{c}`")) for c in documents.columns))
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)).alias("n_chars")
+    return done.select(*(changed.get(c, F.col(f"row.`{c}`")) for c in documents.columns))
 
 
 def _sql_spans(rule: Rule, order: int) -> str:

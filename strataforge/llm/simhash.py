@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored, text_rows
+from .common import MARKS, column, join_unique, stored, text_rows
 
 #: Fixed value: the generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
 GOLAY = 0b101011100011
@@ -174,23 +174,24 @@ def links(nodes: DataFrame, bits: int = 3, run_limit: int = 20_000) -> DataFrame
     return dealt.mapInArrow(_links(bits), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 50) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) of every node on an edge: root is the least node of its component. Rounds of star contraction:
-    a node's larger neighbours, then its smaller ones, are hung on the least it knows, until nothing changes."""
+    a node's larger neighbours, then its smaller ones, are hung on the least it knows, until nothing changes, which
+    takes a number of rounds that grows with the logarithm of the nodes. The hub of a star may hold a third of all
+    edges; its row is then broadcast, and the edges stay where they are."""
     now = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "stars")
     state = None
-    for _ in range(most):
+    while True:
         sides = now.union(now.select("v", "u"))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(join_unique(sides, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        small = join_unique(large, least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         now = stored(small, "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
-    raise RuntimeError(f"components have not settled after {most} rounds")
 
 
 def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -202,7 +203,7 @@ def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, ke
     prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
     nodes = prints.select("fp").distinct()
     roots = components(links(nodes, bits))
-    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
+    return join_unique(prints, roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, words_each: int = 3, bits: int = 3) -> DataFrame:
@@ -210,14 +211,33 @@ def near_duplicates(documents: DataFrame, words_each: int = 3, bits: int = 3) ->
     all are null."""
     grouped = stored(group_documents(documents, words_each, bits), "groups")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_unique(grouped, least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words_each: int = 3, bits: int = 3) -> DataFrame:
     """documents with one row of each near-duplicate group: that of the least doc_id (of equal ones, that of the
-    least digest of the text)."""
+    least digest of the text; of rows equal in both, any one). A null doc_id is less than any other.
+
+    Null and empty texts are one group; an empty table stays empty; columns of any name come through unchanged. Which
+    rows go is found on keys alone. Up to MARKS of them (counted) are broadcast and no text moves; if there are
+    more, the texts are dealt by key once."""
     digest = F.coalesce(F.xxhash64("text"), F.lit(0))
-    grouped = group_documents(documents.select("doc_id", "text", digest.alias("digest")), words_each, bits, ("doc_id", "digest"))
-    stay = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.digest").alias("stay_digest"))
-    kept = documents.withColumn("__digest", digest).join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("__digest") == F.col("stay_digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__digest"]).select(*documents.columns)
+    grouped = stored(group_documents(documents.select("doc_id", "text", digest.alias("digest")), words_each, bits, ("doc_id", "digest")).select(*_whole_key(), "root"), "groups")
+    stay = grouped.groupBy("root").agg(F.min(F.struct("known", "own", "digest")).alias("stay"))
+    key = F.struct("known", "own", "digest")
+    rows = stored(join_unique(grouped, stay, "root").groupBy("known", "own", "digest").agg(F.count("*").alias("times"), F.bool_or(key == F.col("stay")).alias("stays")), "stays")
+    held = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "doc_id", digest.alias("digest")).select("row", *_whole_key())
+    moved = rows.where("not stays or times > 1")
+    if moved.count() <= MARKS:
+        marked = held.join(F.broadcast(moved), ["known", "own", "digest"], "left")
+        single = marked.where("times is null").select("row.*")
+        if rows.where("stays and times > 1").isEmpty():
+            return single
+        several = marked.where("stays").dropDuplicates(["known", "own", "digest"]).select("row.*")
+        return single.unionByName(several)
+    return held.join(rows.where("stays"), ["known", "own", "digest"], "left_semi").dropDuplicates(["known", "own", "digest"]).select("row.*")
+
+
+def _whole_key() -> list:
+    """The key of a row without nulls: equal keys are equal rows of (doc_id, digest), and nulls come first."""
+    return [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("own"), F.col("digest")]

@@ -1,12 +1,14 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table (tokenizer_digest, content_digest, n_tokens) in a shared folder. A run digests
-every text, drops the digests the cache has for this tokenizer, encodes one text of each remaining digest,
-appends the new counts to the cache, and joins all rows to it by digest. Content is normalised as the
-tokenizer itself may not tell apart: null is the empty text; nothing else is folded, so a count is exact.
+every text, finds on the digests alone which of them the cache lacks for this tokenizer and which row shall stand
+for each, fetches the texts of those rows only, encodes them, appends the new counts to the cache, and joins all
+rows to it by digest. Content is normalised as the tokenizer itself may not tell apart: null is the empty text;
+nothing else is folded, so a count is exact.
 
-Only misses move their texts (one shuffle by digest, deduplicated before it on each task); the join back moves
-digests. A digest that a third of the rows share is a skewed join key, which Spark splits on the row side.
+Where few digests are new (see fetch_texts) only their texts move; where many are, the texts are dealt by digest
+and key, so that a digest which a third of the rows share is in no one's hands. The join back moves digests, and
+its heavy ones not at all.
 
 Defined cases: null text counts as empty (0 tokens, 0 bytes); repeated rows stay repeated; an empty table
 gives an empty result; further columns of the input are ignored; a null key is kept as null.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import new_folder, steps, text_rows
+from .common import column, fetch_texts, join_unique, new_folder, steps, stored, text_rows
 
 CACHE = "tokenizer_digest string, content_digest string, n_tokens long"
 
@@ -46,9 +48,9 @@ def _count(name: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[int] = []
-            for part in steps(x.as_py() for x in batch.column(1)):
+            for part in steps(x.as_py() for x in column(batch, "text")):
                 counts += _library_counts(name, part)
-            yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), batch.column(0), pa.array(counts, pa.int64())], ["tokenizer_digest", "content_digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), column(batch, "content_digest"), pa.array(counts, pa.int64())], ["tokenizer_digest", "content_digest", "n_tokens"])
 
     return run
 
@@ -63,10 +65,10 @@ def count_tokens(documents: DataFrame, cache: str | None = None, tokenizer: str
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     text = F.coalesce(F.col("text"), F.lit(""))
     digested = text_rows(documents).select("doc_id", text.alias("text")).withColumn("content_digest", F.sha2("text", 256))
+    rows = stored(digested.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
-    misses = digested.select("content_digest", "text").join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(_count(tokenizer, version), CACHE).write.mode("append").parquet(cache)
+    misses = rows.join(known.select("content_digest"), "content_digest", "left_anti").groupBy("content_digest").agg(F.min("doc_id").alias("stand_in"))
+    fetch_texts(digested, misses).mapInArrow(_count(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     # two runs at a time may both have added a digest; their counts are the same
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = digested.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return join_unique(rows, counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,6 +22,7 @@ one identifier on very many rows does not end in one task.
 
 from __future__ import annotations
 
+import array
 import io
 import struct
 import uuid
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, steps, text_rows
+from .common import column, steps, tasks_for, text_rows
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQIH6x8s")
@@ -103,7 +104,7 @@ class ShardWriter:
     def __init__(self, file, width: int = 2, block: int = 256 << 10):
         self.file, self.width, self.block_bytes = file, width, block
         self.raw, self.size, self.key, self.block_key = [], 0, b"", b""
-        self.index, self.hashes = bytearray(), []
+        self.index, self.hashes = bytearray(), array.array("Q")
         self.at = self.entries = self.ids = 0
         self.first: bytes | None = None
         self.packer = zstandard.ZstdCompressor(level=1)
@@ -141,7 +142,7 @@ class ShardWriter:
     def close(self) -> int:
         """Writes the rest; the file's size."""
         self._flush()
-        bloom = Bloom.of(np.array(self.hashes, np.uint64))
+        bloom = Bloom.of(np.frombuffer(self.hashes, np.uint64))
         tail = bytes(self.index), varint(bloom.probes) + bloom.bits.tobytes()
         self.file.write(b"".join(tail))
         self.file.write(FOOTER.pack(self.at, len(tail[0]), self.at + len(tail[0]), len(tail[1]), self.entries, self.ids, zlib.crc32(b"".join(tail)), self.width, MAGIC))
@@ -215,6 +216,21 @@ def open_shard(path: str) -> Shard:
     return Shard(files.open_input_file(inner))
 
 
+def narrowed(ids: bytes, width: int) -> bytes:
+    """32-bit ids as numbers of `width` bytes; an id that doesn't fit is an error, never cut."""
+    numbers = np.frombuffer(ids, "<u4")
+    if int(numbers.max(initial=0)) >> 8 * width:
+        raise ValueError(f"an id doesn't fit into {width} bytes")
+    return numbers.astype(f"<u{width}").tobytes()
+
+
+def width_for(name: str, end: int) -> int:
+    """Bytes an id: 2 if all ids of the vocabulary and the end fit, or else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end, *Tokenizer.from_file(vocabulary(name)).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
 def _write(folder: str, name: str, end: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, inner = pyarrow.fs.FileSystem.from_uri(folder)
@@ -230,7 +246,7 @@ def _write(folder: str, name: str, end: int, width: int):
                     writer = ShardWriter(out, width)
                 for ids in encoder.encode(part):
                     ids += close
-                    writer.add(key_of(next(keys)), ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
+                    writer.add(key_of(next(keys)), ids if width == 4 else narrowed(ids, width))
         if writer is not None:
             size = writer.close()
             out.close()
@@ -241,15 +257,16 @@ def _write(folder: str, name: str, end: int, width: int):
     return run
 
 
-def write_shards(documents: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end: int = 1, shards: int | None = None, width: int = 2) -> list:
+def write_shards(documents: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end: int = 1, shards: int | None = None, width: int | None = None) -> list:
     """Encodes (doc_id, text) and writes the shards to `folder`, a URI that all executors reach; the manifest,
-    one row a shard (some hundred MB of ids each on a large corpus), in order. width: bytes an id (2 where the
-    vocabulary has at most 65,536).
+    one row a shard (of some 64 MB of text), in order. width: bytes an id, 2 or 4 (none: as the vocabulary needs); an
+    id that doesn't fit stops the job.
 
     Null text is empty (its ids are `end`); null keys come first; rows with the same key are all kept, in order of
     their texts' digests; an empty table gives no shard; further columns are ignored."""
-    spark = documents.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, width = shards or tasks_for(documents), width or width_for(tokenizer, end)
+    if end >> 8 * width:
+        raise ValueError(f"the end doesn't fit into {width} bytes")
     rows = text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return sorted(dealt.mapInArrow(_write(folder, tokenizer, end, width), MANIFEST).collect(), key=lambda r: r["shard"])

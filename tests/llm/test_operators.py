@@ -189,7 +189,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     secret_scan.find_secrets(one.union(spark.createDataFrame([(4, SECRETS[3])], one.schema)), ledger)
     assert rows().count() == 3
     more = (*secret_scan.RULES, secret_scan.Rule("clean", "clean"))
-    found = secret_scan.scan(one, ledger, more).collect()
+    found = secret_scan.scan(one, secret_scan.digested(one), ledger, more).collect()
     assert rows().count() == 5 and rows().where("size(rules) = 1").count() == 2
     assert [s.kind for r in found for s in r.spans].count("clean") == 1
 
