@@ -7,32 +7,43 @@ are periodic in j, so the stay of a character depends on its class and j modulo
 look-up; many texts walk side by side in numpy, the few longest one by one.
 
 A fingerprint samples the embedding at fixed places, spread over twice the least power of two not below the
-text's length and, for comparing with texts half as long, over half of that. Likeness is the share of equal
-samples among the places that both embeddings reach, times the ratio of the lengths. For candidates, bands of
-sampled symbols are keys; each band's members are joined with its least member, and verified by likeness and by
-exact edit distance.
+text's length; for comparing with shorter texts also over half of that, and at some places over each lower power.
+Likeness is the share of equal samples among the places that both embeddings reach, times the ratio of the lengths.
+
+Near texts are found by bands and verified. Lengths are cut into rungs, four an octave. A text has two sketches of
+56 bits, each a bit of one symbol of its embedding: over its own rung, which covers it whole, and over the rung
+below. Two sketches of one rung are linked if at most 9 bits differ. Candidates are those that share a band, four of
+the sampled symbols; sketches of a band are verified by Hamming distance as the links of simhash are, in runs, a hot
+band in blocks, and only stars of each local component come out. The classes are the components of all links.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from .common import column, text_rows
+from .common import column, join_unique, steps, stored, text_rows
+from .simhash import components, links
 
 PERIOD = 1024
 #: Samples over the text's own scale, and as many over half of it.
 SAMPLES = 96
+#: Every so many of them are taken over each scale below half.
+THIN = 12
 STEP = 2_000_000
-BANDS, BAND_SYMBOLS = 16, 4
+#: Bits of a sketch, how many may differ, symbols a band; the bands share no symbol.
+SKETCH, APART, BANDS, BAND_SYMBOLS = 56, 9, 8, 4
+#: More ranges of doc_id than this are not dealt: the cuts are held by the driver.
+MOST_PARTS = 20_000
 
 
 @functools.cache
@@ -94,31 +105,78 @@ def scale_of(n: int) -> int:
     return 1 << max(n - 1, 0).bit_length()
 
 
+def rung_of(n: int) -> int:
+    """0 for the empty text; else the least rung whose size is not below n."""
+    if not n:
+        return 0
+    at = 2 + math.floor(4 * math.log2(n))
+    while at > 1 and rung_size(at - 1) >= n:
+        at -= 1
+    return at
+
+
+def rung_size(rung: int) -> int:
+    return math.ceil(2 ** ((rung - 1) / 4)) if rung else 0
+
+
+@functools.cache
+def sketch_places() -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of a sketch lie, as shares of twice the rung's size, and which of them are each band's symbols."""
+    random = np.random.RandomState(20023)
+    return np.sort(random.uniform(0, 1, SKETCH)), random.permutation(SKETCH)[: BANDS * BAND_SYMBOLS].reshape(BANDS, BAND_SYMBOLS)
+
+
+class Walked:
+    """The embeddings of some texts."""
+
+    def __init__(self, texts: list[str]):
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.reached = walk(self.codes, self.sizes)
+        self.after = np.append(self.codes[1:], 0).astype(np.uint32)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def symbols(self, k: int, want: np.ndarray) -> np.ndarray:
+        """1 to 255 for what text k's embedding has at these steps; 0 beyond its end."""
+        begin, n = int(self.begins[k]), int(self.sizes[k])
+        found = np.zeros(len(want), np.uint8)
+        if n:
+            own = self.reached[begin : begin + n]
+            # the walk leaves its last character after two steps or so, as any other
+            there = want < own[-1] + 2
+            at = np.searchsorted(own, want[there], side="right") - 1
+            follow = np.where(at < n - 1, self.after[begin + at], 0)
+            mixed = (self.codes[begin + at].astype(np.uint32) * np.uint32(0x9E3779B1) + follow.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+            found[there] = 1 + (mixed >> np.uint32(16)) % np.uint32(255)
+        return found
+
+
+@functools.cache
+def sample_steps(scale: int) -> np.ndarray:
+    """The steps that a fingerprint of this scale samples."""
+    thin = [places()[::THIN] * 2 * s for s in (scale >> k for k in range(2, scale.bit_length()))]
+    return np.concatenate([places() * 2 * scale, places() * scale, *thin]).astype(np.int64)
+
+
 def sampled(texts: list[str]) -> list[tuple[int, bytes]]:
     """(length, samples) of each text; 0 stands where the embedding has ended."""
-    joined = "".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    reached = walk(codes, sizes)
-    after = np.append(codes[1:], 0).astype(np.uint32)
-    begins = np.cumsum(sizes) - sizes
+    walked = Walked(texts)
+    return [(n, walked.symbols(k, sample_steps(scale_of(n))).tobytes()) for k, n in enumerate(walked.sizes.tolist())]
+
+
+def sketches(texts: list[str]) -> list[tuple[int, int, bytes]]:
+    """(own, below, symbols) of each text: two sketches with their rungs in the top byte, as signed numbers, and the
+    symbols of their bands, one byte each. The lowest two rungs have none below: own again."""
+    walked, (shares, picks) = Walked(texts), sketch_places()
     found = []
-    for begin, n in zip(begins.tolist(), sizes.tolist()):
-        out = b""
-        for scale in (scale_of(n), scale_of(n) / 2):
-            symbols = np.zeros(SAMPLES, np.uint8)
-            if n:
-                want = (places() * 2 * scale).astype(np.int64)
-                own = reached[begin : begin + n]
-                at = np.searchsorted(own, want, side="right") - 1
-                # the walk leaves its last character after two steps or so, as any other
-                there = want < own[-1] + 2
-                at = at[there]
-                follow = np.where(at < n - 1, after[begin + at], 0)
-                mixed = (codes[begin + at].astype(np.uint32) * np.uint32(0x9E3779B1) + follow.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
-                symbols[there] = 1 + (mixed >> np.uint32(16)) % np.uint32(255)
-            out += symbols.tobytes()
-        found.append((n, out))
+    for k, n in enumerate(walked.sizes.tolist()):
+        rung, told_, symbols = rung_of(n), [], b""
+        for r in (rung, max(rung - 1, min(rung, 1))):
+            x = walked.symbols(k, (shares * 2 * rung_size(r)).astype(np.int64))
+            bits = x >> (np.arange(SKETCH) % 8).astype(np.uint8) & 1
+            told_.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes() + bytes([r]), "little", signed=True))
+            symbols += x[picks.ravel()].tobytes()
+        found.append((*told_, symbols))
     return found
 
 
@@ -127,7 +185,8 @@ def told(n: int, samples: bytes) -> str:
 
 
 def likeness(a: tuple[int, bytes], b: tuple[int, bytes]) -> float:
-    """0 to 1; 1 for equal texts. Texts whose scales differ more than twofold are not compared further: 0."""
+    """0 to 1; 1 for equal texts. Over the scale of the shorter text, which both sampled; with a text of more than twice
+    its scale on fewer places."""
     if a[0] < b[0]:
         a, b = b, a
     if not a[0]:
@@ -135,12 +194,13 @@ def likeness(a: tuple[int, bytes], b: tuple[int, bytes]) -> float:
     if not b[0]:
         return 0.0
     x, y = np.frombuffer(a[1], np.uint8), np.frombuffer(b[1], np.uint8)[:SAMPLES]
-    if (top := scale_of(a[0])) == scale_of(b[0]):
-        x = x[:SAMPLES]
-    elif top == 2 * scale_of(b[0]):
-        x = x[SAMPLES:]
+    above = scale_of(a[0]).bit_length() - scale_of(b[0]).bit_length()
+    if above < 2:
+        x = x[above * SAMPLES : (above + 1) * SAMPLES]
     else:
-        return 0.0
+        y = y[::THIN]
+        begin = 2 * SAMPLES + (above - 2) * len(y)
+        x = x[begin : begin + len(y)]
     both = (x > 0) & (y > 0)
     return float((x[both] == y[both]).mean() * b[0] / a[0]) if both.any() else 0.0
 
@@ -167,39 +227,40 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (part, guest, doc_id, tie): each row that is no guest with the one after it."""
+    """Rows in order of (part, guest, doc_id, tie, kind): each text that is no guest with the one after it. A row of
+    kind 0 has the class of the texts of kind 1 that follow it and are equal in doc_id and tie."""
     waiting: list[tuple] = []
-    held = 0
+    held, class_id = 0, None
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        texts, edits, nexts, ids = [], [], [], []
-        for (own, part, _, text), (_, other, _, follow) in zip(rows, rows[1:]):
+        texts, edits, nexts, ids, classes = [], [], [], [], []
+        for (own, part, _, text, of), (_, other, _, follow, _) in zip(rows, rows[1:]):
             if part == other:
                 k = len(text) // 4
                 ids.append(own)
                 texts.append(text)
                 nexts.append(follow)
                 edits.append(text[: len(text) - k] + follow[:k])
+                classes.append(of)
         distinct = [*dict.fromkeys([*texts, *nexts, *edits])]
         found: dict[str, tuple[int, bytes]] = {}
-        begin = size = 0
-        for k, text in enumerate(distinct):  # a step's arrays stay small
-            size += len(text)
-            if size >= STEP or k == len(distinct) - 1:
-                found.update(zip(distinct[begin : k + 1], sampled(distinct[begin : k + 1])))
-                begin, size = k + 1, 0
+        for part in steps(distinct, STEP):  # a step's arrays stay small
+            found.update(zip(part, sampled(part)))
         prints, changed, after = ([found[x] for x in y] for y in (texts, edits, nexts))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([*map(len, texts)], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits], pa.string()), pa.array([told(*x) for x in prints], pa.string()), pa.array([told(*x) for x in changed], pa.string()), pa.array([*map(likeness, prints, changed)], pa.float64()), pa.array([*map(likeness, prints, after)], pa.float64())],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            [pa.array(ids, pa.int64()), pa.array([*map(len, texts)], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits], pa.string()), pa.array([told(*x) for x in prints], pa.string()), pa.array([told(*x) for x in changed], pa.string()), pa.array([*map(likeness, prints, changed)], pa.float64()), pa.array([*map(likeness, prints, after)], pa.float64()), pa.array(classes, pa.int64())],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
         )
 
     for batch in batches:
-        for row in zip(*(column(batch, x) for x in ("doc_id", "part", "guest", "text"))):
-            own, part, guest, text = (x.as_py() for x in row)
+        for row in zip(*(column(batch, x) for x in ("doc_id", "part", "guest", "kind", "class_id", "text"))):
+            own, part, guest, kind, of, text = (x.as_py() for x in row)
+            if not kind:
+                class_id = of
+                continue
             if guest and waiting and waiting[-1][2] and waiting[-1][1] == part:
                 continue  # equal rows at a part's head come several times
-            waiting.append((own, part, guest, text))
+            waiting.append((own, part, guest, text, class_id))
             held += len(text)
             if held > STEP:
                 yield done(waiting)
@@ -207,89 +268,108 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield done(waiting)
 
 
-def in_parts(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text, tie, part): part numbers ranges in the order of (doc_id, tie), nulls first. Quantiles of doc_id
-    are the cuts; an identifier that fills several ranges gets them by its rows' digests."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    at = F.col("doc_id").cast("double")
-    cuts = rows.select(at.alias("at")).approxQuantile("at", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    hot = {x: cuts.count(x) for x in set(cuts) if cuts.count(x) > 1}
-    inner = sorted({*cuts, *(float(np.nextafter(x, np.inf)) for x in hot)})
-    splits = [-float("inf"), *(inner or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("at", F.coalesce(at, F.lit(float(-(2**63))))))
-    share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
-    pieces = F.lit(1)
-    for x, k in hot.items():
-        pieces = F.when(F.col("at") == x, k).otherwise(pieces)
-    pieces = F.when(F.col("doc_id").isNull(), n).otherwise(pieces)
-    # null keys: parts below all others
-    base = F.when(F.col("doc_id").isNull(), F.lit(-2)).otherwise(F.col("bucket").cast("long"))
-    return cut.select("doc_id", "text", "tie", (base * (n + 1) + F.least(F.floor(share * pieces), pieces - 1)).cast("long").alias("part"))
+def part_of(rows: DataFrame, n: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """A function that adds `part` to a table with (doc_id, tie): about n ranges in the order of (doc_id, tie), nulls
+    first. The cuts are taken from a sample of the stored rows, some 20 a range; wherever they fall, the parts follow
+    each other exactly, and a doc_id that fills several ranges is cut by tie.
+
+    The part of a row is the number of cuts not above it. As a double, which may round, doc_id tells all cuts but
+    those that round alike; those are compared one by one."""
+    total = rows.count()
+    if n < 2 or not total:
+        return lambda df: df.withColumn("part", F.lit(0).cast("long")), 1
+    keys = rows.select("doc_id", "tie").where("doc_id is not null").sample(min(1.0, 20 * n / total), 1)
+    own = sorted((r["doc_id"], r["tie"]) for r in keys.collect())
+    cuts = sorted({own[k * len(own) // n] for k in range(1, n)}) if own else []
+    # null keys: as many ranges of tie below all others as they fill
+    nulls = rows.where("doc_id is null").count()
+    low = max(1, min(n, nulls * n // total))
+    groups = [(x, [*of]) for x, of in itertools.groupby(cuts, lambda c: float(c[0]))]
+    splits = [-float("inf"), *(x for x, _ in groups), float("inf")] if groups else [-float("inf"), 0.0, float("inf")]
+    before = [0, *itertools.accumulate(len(of) for _, of in groups)]
+
+    def add(df: DataFrame) -> DataFrame:
+        at = F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))
+        cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket", handleInvalid="keep").transform(df.withColumn("__at", at))
+        if not groups:
+            part = F.lit(0)
+        else:
+            bucket = F.col("__bucket").cast("int")
+            lists = F.array(*(F.array(*(F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(t).cast("long").alias("tie")) for i, t in of)) for _, of in groups))
+            alike = F.col("__at") == F.get(F.array(*(F.lit(x) for x, _ in groups)), bucket - 1)
+            passed = F.size(F.filter(F.get(lists, bucket - 1), lambda c: c <= F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("tie").alias("tie"))))
+            counts = F.array(*(F.lit(x) for x in before))
+            part = F.when(F.coalesce(alike, F.lit(False)), F.get(counts, bucket - 1) + passed).otherwise(F.get(counts, bucket))
+        share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+        below = F.least(F.floor(share * low), F.lit(low - 1)) - low
+        return cut.withColumn("part", F.when(F.col("doc_id").isNull(), below).otherwise(part).cast("long")).drop("__at", "__bucket")
+
+    return add, len(cuts) + 1 + low
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, sizes = [], []
+        for part in steps((x.as_py() for x in column(batch, "text")), STEP):
+            found += sketches(part)
+            sizes += map(len, part)
+        own, below, symbols = zip(*found) if found else ([],) * 3
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tie"), pa.array(sizes, pa.int64()), pa.array(own, pa.int64()), pa.array(below, pa.int64()), pa.array(symbols, pa.binary())], ["doc_id", "tie", "n_chars", "own", "below", "symbols"])
 
 
-def fingerprints_of_edits(documents: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row, edited with
-    the row after it in the order of doc_id (after the last: the first).
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp): for each band of each sketch a hash of rung, band and symbols."""
+    rows, size = 2 * BANDS, BAND_SYMBOLS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        symbols = np.frombuffer(b"".join(column(batch, "symbols").to_pylist()), np.uint8).reshape(-1, rows, size).astype(np.uint64)
+        prints = np.stack([column(batch, x).to_numpy() for x in ("own", "below")], axis=1)
+        rung = (prints.view(np.uint64) >> np.uint64(SKETCH)).repeat(BANDS, axis=1)
+        key = rung * np.uint64(BANDS) + np.tile(np.arange(BANDS, dtype=np.uint64), 2)
+        for k in range(size):
+            key = (key ^ symbols[:, :, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(prints.repeat(BANDS, axis=1).ravel())], ["key", "fp"])
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, tie, n_chars, class_id) of every row; tie: the XXH64 of its text; class_id: the least doc_id of its class,
+    null only if all are null.
+
+    Texts link if their sketches at one rung differ in APART bits or fewer and share a band; a class is what links
+    join. Null text is empty, and empty texts are a class; equal texts have equal sketches and are one class."""
+    rows = text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    found = stored(rows.mapInArrow(_sketched, "doc_id long, tie long, n_chars long, own long, below long, symbols binary"), "sketches")
+    nodes = stored(found.select("own", "below", "symbols").distinct(), "nodes")
+    edges = links(nodes, APART, keys=_bands).union(found.where("own <> below").select(F.greatest("own", "below").alias("u"), F.least("own", "below").alias("v")).distinct())
+    roots = components(edges).withColumnRenamed("node", "own")
+    grouped = stored(join_unique(found.select("doc_id", "tie", "n_chars", "own"), roots, "own", "left").select("doc_id", "tie", "n_chars", F.coalesce("root", "own").alias("root")), "classes")
+    return join_unique(grouped, grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").drop("root")
 
-    The texts are dealt once, by ranges of doc_id; each range's first row also goes to the range before it. What
-    comes to the driver is a row a range. Null text is empty; null keys come first; rows with one key go in the
-    order of their texts' digests, equal rows in any; an empty table gives no rows; one row is its own next; further
-    columns are ignored."""
+
+def fingerprints_of_edits(documents: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id) of every row,
+    edited with the row after it in the order of doc_id (after the last: the first); class_id as near_classes gives it.
+
+    The texts are dealt once, by ranges of doc_id; each range's first row also goes to the range before it, and each
+    row's class to the row. What comes to the driver is a row a range and the sample for their cuts. Null text is
+    empty; null keys come first; rows with one key go in the order of their texts' digests, equal rows in any; an
+    empty table gives no rows; one row is its own next; further columns are ignored; a text of any length counts
+    whole."""
     spark = documents.sparkSession
-    n = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = in_parts(text_rows(documents), n)
-    heads = sorted((r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in cut.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head")).collect())
+    classes = stored(near_classes(documents), "near-classes")
+    size = classes.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
+    n = min(parts or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // (32 << 20))), MOST_PARTS)
+    add, n = part_of(classes, n)
+    of = add(classes.groupBy("doc_id", "tie").agg(F.first("class_id").alias("class_id")))
+    heads = sorted((r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in add(classes).groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head")).collect())
     table = [(part, own, tie, heads[k - 1][0]) for k, (part, own, tie) in enumerate(heads)]
     lists = F.broadcast(spark.createDataFrame(table, "part long, head_id long, head_tie long, before long"))
     is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     own, guest = F.struct(F.col("part"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("part"), F.lit(1).alias("guest"))
-    dealt = cut.join(lists, "part").select("doc_id", "text", "tie", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "tie", "to.part", "to.guest")
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie")
-    return ordered.select("doc_id", "part", "guest", "text").mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    picks = [np.random.RandomState(20029 + k).choice(SAMPLES, BAND_SYMBOLS, replace=False) for k in range(BANDS)]
-    for batch in batches:
-        digests, texts = column(batch, "digest").to_pylist(), column(batch, "text").to_pylist()
-        keys: list[str] = []
-        of: list[str] = []
-        marks: list[str] = []
-        for begin in range(0, len(texts), 200):
-            for digest, text, (n, samples) in zip(digests[begin:], texts[begin:], sampled([x or "" for x in texts[begin : begin + 200]])):
-                for half in (0, 1):
-                    symbols = samples[half * SAMPLES : (half + 1) * SAMPLES]
-                    for k, pick in enumerate(picks):
-                        keys.append(f"{k}:{scale_of(n) >> half}:" + bytes(symbols[x] for x in pick).hex())
-                        of.append(digest)
-                        marks.append(told(n, samples))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(of, pa.string()), pa.array(marks, pa.string())], ["band", "digest", "print"])
-
-
-def read_print(x: str) -> tuple[int, bytes]:
-    n, _, rest = x.partition("-")
-    return int(n, 16), bytes.fromhex(rest)
-
-
-def near_texts(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(digest, other, similarity): pairs of different texts whose edit similarity, 1 - distance / longer length, is at
-    least `least`, found by bands; and (doc_id, digest), the texts' members. Every text of a band is held against
-    the band's least digest, so a band of any size gives one pair a text and no task holds a band."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    bands = texts.mapInArrow(_bands, "band string, digest string, print string")
-    least_of = bands.groupBy("band").agg(F.min(F.struct("digest", "print")).alias("head"))
-    pairs = bands.join(least_of, "band").where("digest <> head.digest").select("digest", "print", F.col("head.digest").alias("other"), F.col("head.print").alias("other_print")).distinct()
-
-    @F.pandas_udf(DoubleType())
-    def alike(a, b):
-        return a.combine(b, lambda x, y: likeness(read_print(x), read_print(y)))
-
-    @F.pandas_udf(DoubleType())
-    def similar(a, b):
-        return a.combine(b, lambda x, y: 1 - edit_distance(x, y) / max(len(x), len(y), 1))
-
-    likely = pairs.where(alike("print", "other_print") >= least * 0.75).select("digest", "other")
-    with_texts = likely.join(texts, "digest").join(texts.select(F.col("digest").alias("other"), F.col("text").alias("other_text")), "other")
-    verified = with_texts.select("digest", "other", similar("text", "other_text").alias("similarity")).where(F.col("similarity") >= least)
-    return verified, rows.select("doc_id", "digest")
+    texts = add(text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")))
+    dealt = texts.join(lists, "part").select("doc_id", "text", "tie", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "tie", "to.part", "to.guest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_id"), "text")
+    both = dealt.unionByName(of.select("doc_id", "tie", "part", F.lit(0).alias("guest"), F.lit(0).alias("kind"), "class_id", F.lit(None).cast("string").alias("text")))
+    ordered = both.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie", "kind")
+    return ordered.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")

@@ -163,10 +163,20 @@ def _stars(rows: np.ndarray, starts: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(np.concatenate(roots))], ["u", "v"])
 
 
-def links(nodes: DataFrame, bits: int = 3, run_limit: int = 20_000) -> DataFrame:
-    """(u, v), u > v: stars whose components are those of all links among the distinct fingerprints nodes.fp."""
-    keys = nodes.select("fp").mapInArrow(_keys, "key long, fp long")
-    heavy = stored(keys.groupBy("key").count().where(F.col("count") > run_limit).select("key", F.ceil(F.col("count") / run_limit).cast("long").alias("blocks")), "heavy-keys")
+def links(nodes: DataFrame, bits: int = 3, run_limit: int = 20_000, keys=_keys) -> DataFrame:
+    """(u, v), u > v: stars whose components are those of all links among the distinct numbers fp that share a key; keys
+    makes (key, fp) of nodes, in Arrow batches.
+
+    Keys with more than run_limit rows are found in two steps, since almost all have few: rows are counted by hashed
+    buckets of keys, some hundred rows a bucket on average, and by key only in the buckets beyond the limit."""
+    keys = nodes.mapInArrow(keys, "key long, fp long")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, nodes.count() * 40 * 64 // run_limit))).alias("bucket")
+    full = stored(keys.groupBy(bucket).count().where(F.col("count") > run_limit).select("bucket"), "full-buckets")
+    if full.isEmpty():
+        heavy = nodes.sparkSession.createDataFrame([], "key long, blocks long")
+    else:
+        counts = keys.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("key").count()
+        heavy = stored(counts.where(F.col("count") > run_limit).select("key", F.ceil(F.col("count") / run_limit).cast("long").alias("blocks")), "heavy-keys")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     # a member of block x goes to the meetings (x, y) for every block y
     meeting = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda y: F.least(own, y) * F.col("blocks") + F.greatest(own, y))))
@@ -201,7 +211,7 @@ def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, ke
     an empty table gives no rows; columns not in keep are ignored; a text of any length counts whole."""
     fields = {x.name: x.dataType.simpleString() for x in documents.schema.fields}
     prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
-    nodes = prints.select("fp").distinct()
+    nodes = stored(prints.select("fp").distinct(), "nodes")
     roots = components(links(nodes, bits))
     return join_unique(prints, roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
 
