@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checksums import crc32, crc32c
@@ -83,32 +84,50 @@ def sort_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.orderBy(*order)
 
 
-def compaction(runs: list[DataFrame], key: str, order: str = "run") -> DataFrame:
-    """Sorted runs merged: the newest run's row of each key wins; runs are given oldest first."""
+def _newest(runs: list[DataFrame], key: str, order: str) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, (run.withColumn(order, F.lit(k)) for k, run in enumerate(runs)))
     values = [c for c in tagged.columns if c not in (key, order)]
     newest = tagged.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("v"))
-    return newest.select(key, *(F.col(f"v.{c}") for c in values)).orderBy(key)
+    return newest.select(key, *(F.col(f"v.{c}") for c in values))
+
+
+def compaction(runs: list[DataFrame], key: str, order: str = "run") -> DataFrame:
+    """Sorted runs merged: the newest run's row of each key wins; runs are given oldest first."""
+    return _newest(runs, key, order).orderBy(key)
 
 
 def split_compaction(runs: list[DataFrame], key: str, target_rows: int) -> DataFrame:
-    """compaction() with the number of the output table that each row belongs to: about target_rows rows each, by
-    ranges of the key. The ranges come from quantiles, not from a global row number in one task."""
-    merged = compaction(runs, key)
-    n = max(1, -(-merged.count() // target_rows))
-    cuts = merged.approxQuantile(key, [k / n for k in range(1, n)], 0.0) if n > 1 else []
-    table = reduce(lambda total, cut: total + (F.col(key) > cut).cast("int"), cuts, F.lit(0))
-    return merged.withColumn("table_no", table)
-
-
-def table_properties(df: DataFrame, table: str, key: str, value: str) -> DataFrame:
-    """Entries, bytes and key bounds of each output table."""
-    return df.groupBy(table).agg(
+    """compaction() with the number of the output table that each row belongs to: about target_rows rows each, by ranges
+    of the key, in order. A range is a partition, so each table is what one task has; the ranges come from Spark's own
+    sample, and nothing but a count comes to the driver."""
+    keys = reduce(DataFrame.unionByName, (run.select(key) for run in runs)).distinct().count()
+    merged = _newest(runs, key, "run").repartitionByRange(max(1, -(-keys // target_rows)), key).sortWithinPartitions(key)
+    return merged.withColumn("table_no", F.spark_partition_id())
+
+
+def compaction_stats(runs: list[DataFrame], key: str, value: str) -> DataFrame:
+    """One row: entries and raw key and value bytes that go into a compaction, and entries that come out."""
+    every = reduce(DataFrame.unionByName, (run.select(key, value) for run in runs))
+    per_key = every.groupBy(key).agg(F.count("*").alias("n"), F.sum(_size(key)).alias("k"), F.sum(_size(value)).alias("v"))
+    return per_key.agg(F.sum("n").alias("num_input_entries"), F.sum("k").alias("raw_input_key_size"), F.sum("v").alias("raw_input_value_size"), F.count("*").alias("num_output_entries"))
+
+
+def _size(column: str) -> Column:
+    return F.octet_length(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def table_properties(df: DataFrame, table: str, key: str, value: str, block: int = 4096) -> DataFrame:
+    """Entries, bytes, key bounds and data blocks of each output table. An entry begins in the block that the bytes before
+    it in its table have reached, `block` bytes each; tables are bounded, so the running sum is one task's work."""
+    before = Window.partitionBy(table).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("__block", F.floor(F.coalesce(F.sum(_size(key) + _size(value)).over(before), F.lit(0)) / block))
+    return placed.groupBy(table).agg(
         F.count("*").alias("entries"),
         F.min(key).alias("smallest_key"),
         F.max(key).alias("largest_key"),
-        F.sum(F.octet_length(F.col(key).cast("string"))).alias("raw_key_size"),
-        F.sum(F.octet_length(F.coalesce(F.col(value).cast("string"), F.lit("")))).alias("raw_value_size"),
+        F.sum(_size(key)).alias("raw_key_size"),
+        F.sum(_size(value)).alias("raw_value_size"),
+        F.count_distinct("__block").alias("num_data_blocks"),
     )
 
 
@@ -127,18 +146,35 @@ def first_smallest(df: DataFrame, key: str, measure: str) -> DataFrame:
     return df.agg(F.min(F.struct(measure, key)).alias("x")).select(f"x.{key}", f"x.{measure}")
 
 
+def runs_of(values: str | Column) -> Column:
+    """array<struct<value, first, length>>: runs of equal neighbours (nulls are equal) of an array, within the row."""
+    v = F.col(values) if isinstance(values, str) else values
+    starts = F.filter(F.transform(v, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(v, i - 1)), i)), lambda i: i.isNotNull())
+    return F.transform(starts, lambda i, k: F.struct(F.get(v, i).alias("value"), i.alias("first"), (F.coalesce(F.get(starts, k + 1), F.size(v)) - i).cast("long").alias("length")))
+
+
 def run_length(df: DataFrame, key: str, values: str) -> DataFrame:
-    """(key, value, first, length): runs of equal neighbours in each row's array."""
-    at = df.select(key, F.posexplode(values).alias("place", "value"))
-    begin = at.withColumn("new", F.coalesce(F.col("value") != F.lag("value").over(Window.partitionBy(key).orderBy("place")), F.lit(True)).cast("int"))
-    runs = begin.withColumn("run", F.sum("new").over(Window.partitionBy(key).orderBy("place")))
-    return runs.groupBy(key, "run").agg(F.first("value").alias("value"), F.min("place").alias("first"), F.count("*").alias("length")).drop("run")
+    """(key, value, first, length): runs of equal neighbours in each row's array. Rows with one key stay apart."""
+    return df.select(key, F.inline(runs_of(values)))
+
+
+def pack_runs(df: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, runs): each row's array as its runs."""
+    return df.select(key, runs_of(values).alias("runs"))
+
 
+def unpack_runs(df: DataFrame, key: str, runs: str = "runs") -> DataFrame:
+    """(key, values): the arrays that pack_runs() took apart, row by row."""
+    return df.select(key, F.flatten(F.transform(runs, lambda r: F.array_repeat(r["value"], r["length"].cast("int")))).alias("values"))
 
-def unpack_runs(df: DataFrame, key: str) -> DataFrame:
-    """(key, values): the arrays that run_length() took apart."""
-    whole = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "length", "value"))).alias("runs"))
-    return whole.select(key, F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["length"].cast("int")))).alias("values"))
+
+def load(df: DataFrame) -> DataFrame:
+    """Holds df's rows in the executors' memory, beyond it on their disks, from their first use until unload()."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def unload(df: DataFrame) -> DataFrame:
+    return df.unpersist()
 
 
 def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -150,7 +186,7 @@ def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
-PROGRAMS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (key_finder, key_finder_two, range_filter, grep, stat32, filtered_stat32, pricing_summary, revenue_change, knn, point_lookup, sort_rows, compaction, split_compaction, table_properties, block_checksums, null_counts, first_smallest, run_length, unpack_runs, map_batches)}
+PROGRAMS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (key_finder, key_finder_two, range_filter, grep, stat32, filtered_stat32, pricing_summary, revenue_change, knn, point_lookup, sort_rows, compaction, split_compaction, table_properties, block_checksums, null_counts, first_smallest, run_length, pack_runs, unpack_runs, compaction_stats, load, unload, map_batches)}
 
 
 def execute(name: str, df: DataFrame, *args, **params) -> DataFrame:
@@ -162,3 +198,16 @@ def register(name: str, program: Callable[..., DataFrame]) -> None:
     if name in PROGRAMS:
         raise ValueError(f"program {name} exists")
     PROGRAMS[name] = program
+
+
+def register_function(spark: SparkSession, name: str, function, kind: str, returns: str) -> None:
+    """Makes a user's function known to SQL by name. kind: "udf" (a value a row, in Arrow batches), "pandas" (a series a
+    batch), "udaf" (series of a group to a value), "udtf" (a class whose eval() yields rows)."""
+    if kind == "udtf":
+        spark.udtf.register(name, F.udtf(function, returnType=returns))
+    elif kind == "udf":
+        spark.udf.register(name, F.udf(function, returns, useArrow=True))
+    elif kind in ("pandas", "udaf"):
+        spark.udf.register(name, F.pandas_udf(function, returns))
+    else:
+        raise ValueError("kind is udf, pandas, udaf or udtf")

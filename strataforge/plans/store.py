@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -30,8 +32,6 @@ class Store:
     def create(self, name: str, text: str) -> bool:
         """Writes a file that must not exist, whole or not at all: written beside its place, then renamed. False if
         another was first."""
-        import uuid
-
         held = self._path(f"_new/{uuid.uuid4().hex}")
         stream = self.fs.create(held, False)
         stream.write(bytearray(text.encode()))
@@ -45,5 +45,16 @@ class Store:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
-    def size(self, name: str) -> int:
-        return self.fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. Where it is unset and Spark runs on
+    this machine alone, a temporary folder; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
