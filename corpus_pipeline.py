@@ -2,6 +2,9 @@
 
 Every stage takes all that the one before kept and returns the columns of documents; the last returns the packed
 pieces. Between stages the rows are written and read again, so that a lost executor costs one stage's tasks at most.
+
+Every stage: an empty table stays empty; a text of any length counts whole; null keys and repeated rows are rows like
+any other, but where a stage says otherwise; columns of any name beside doc_id, text and lang come through unchanged.
 """
 
 from __future__ import annotations
@@ -17,27 +20,30 @@ from strataforge.llm.simhash import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known; learned from the stage's own labelled rows."""
+    """Rows whose language is known; learned from the stage's own labelled rows. Rows without text or letters go, as do
+    all if no row is labelled."""
     return in_known_language(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep."""
+    """Rows that the quality rules keep. Null and empty texts have no words and go."""
     return good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: that of the least doc_id."""
+    """One row of each near-duplicate group: that of the least doc_id (a null is less than any); of rows with one doc_id
+    the one whose text has the least digest, of equal rows any one. Texts without words are one group."""
     return one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with the secrets in their texts replaced by a mark."""
+    """All rows, with the secrets in their texts replaced by a mark, and n_chars set anew there. Null texts stay null."""
     return redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its sequence and its place there."""
+    """A row for each piece of a document: its sequence and its place there. A null or empty text is one piece, the end;
+    repeated rows are packed each; further columns end here."""
     return pack(docs)
 
 
