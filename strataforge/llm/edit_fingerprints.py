@@ -40,6 +40,8 @@ SAMPLES = 96
 #: Every so many of them are taken over each scale below half.
 THIN = 12
 STEP = 2_000_000
+#: Characters of a longer text that are walked at a time.
+LONG = 1_000_000
 #: Bits of a sketch, how many may differ, symbols a band; the bands share no symbol.
 SKETCH, APART, BANDS, BAND_SYMBOLS = 56, 9, 8, 4
 #: More ranges of doc_id than this are not dealt: the cuts are held by the driver.
@@ -126,29 +128,46 @@ def sketch_places() -> tuple[np.ndarray, np.ndarray]:
     return np.sort(random.uniform(0, 1, SKETCH)), random.permutation(SKETCH)[: BANDS * BAND_SYMBOLS].reshape(BANDS, BAND_SYMBOLS)
 
 
-class Walked:
-    """The embeddings of some texts."""
+def _symbols(codes: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """1 to 255 for a character and the one after it (0: none)."""
+    mixed = (codes.astype(np.uint32) * np.uint32(0x9E3779B1) + after.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+    return (1 + (mixed >> np.uint32(16)) % np.uint32(255)).astype(np.uint8)
+
+
+def symbols_of(texts: list[str], wanted: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text what its embedding has at the wanted steps; 0 beyond its end. The walk leaves its last character
+    after two steps or so, as any other. Texts over LONG characters are walked part by part."""
+    found: list[np.ndarray] = [np.zeros(len(w), np.uint8) for w in wanted]
+    short = [k for k, x in enumerate(texts) if 0 < len(x) <= LONG]
+    codes = np.frombuffer("".join(texts[k] for k in short).encode("utf-32-le", "replace"), "<u4")
+    sizes = np.fromiter((len(texts[k]) for k in short), np.int64, len(short))
+    reached, after = walk(codes, sizes), np.append(codes[1:], 0).astype(np.uint32)
+    for k, begin, n in zip(short, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+        own = reached[begin : begin + n]
+        there = wanted[k] < own[-1] + 2
+        at = np.searchsorted(own, wanted[k][there], side="right") - 1
+        found[k][there] = _symbols(codes[begin + at], np.where(at < n - 1, after[begin + at], 0))
+    for k, x in enumerate(texts):
+        if len(x) > LONG:
+            found[k] = _long_symbols(x, wanted[k])
+    return found
 
-    def __init__(self, texts: list[str]):
-        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.reached = walk(self.codes, self.sizes)
-        self.after = np.append(self.codes[1:], 0).astype(np.uint32)
-        self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def symbols(self, k: int, want: np.ndarray) -> np.ndarray:
-        """1 to 255 for what text k's embedding has at these steps; 0 beyond its end."""
-        begin, n = int(self.begins[k]), int(self.sizes[k])
-        found = np.zeros(len(want), np.uint8)
-        if n:
-            own = self.reached[begin : begin + n]
-            # the walk leaves its last character after two steps or so, as any other
-            there = want < own[-1] + 2
-            at = np.searchsorted(own, want[there], side="right") - 1
-            follow = np.where(at < n - 1, self.after[begin + at], 0)
-            mixed = (self.codes[begin + at].astype(np.uint32) * np.uint32(0x9E3779B1) + follow.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
-            found[there] = 1 + (mixed >> np.uint32(16)) % np.uint32(255)
-        return found
+def _long_symbols(text: str, wanted: np.ndarray) -> np.ndarray:
+    table, j, found = stays().tolist(), 0, np.zeros(len(wanted), np.uint8)
+    for begin in range(0, len(text), LONG):
+        codes = np.frombuffer(text[begin : begin + LONG + 1].encode("utf-32-le", "replace"), "<u4")
+        classes = (codes[:LONG].astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64) * PERIOD
+        seen = []
+        for c in classes.tolist():
+            seen.append(j)
+            j += table[c + (j & PERIOD - 1)]
+        own = np.array(seen, np.int64)
+        end = j if begin + LONG < len(text) else own[-1] + 2
+        there = (wanted >= own[0]) & (wanted < end)
+        at = np.searchsorted(own, wanted[there], side="right") - 1
+        found[there] = _symbols(codes[at], np.append(codes, 0)[at + 1])
+    return found
 
 
 @functools.cache
@@ -160,23 +179,29 @@ def sample_steps(scale: int) -> np.ndarray:
 
 def sampled(texts: list[str]) -> list[tuple[int, bytes]]:
     """(length, samples) of each text; 0 stands where the embedding has ended."""
-    walked = Walked(texts)
-    return [(n, walked.symbols(k, sample_steps(scale_of(n))).tobytes()) for k, n in enumerate(walked.sizes.tolist())]
+    return [(len(x), own.tobytes()) for x, own in zip(texts, symbols_of(texts, [sample_steps(scale_of(len(x))) for x in texts]))]
+
+
+@functools.cache
+def sketch_steps(rung: int) -> np.ndarray:
+    """The steps that the sketches of a text of this rung are taken from: own and below."""
+    return np.concatenate([(sketch_places()[0] * 2 * rung_size(r)).astype(np.int64) for r in (rung, rung_below(rung))])
+
+
+def rung_below(rung: int) -> int:
+    """The lowest two rungs have none below."""
+    return max(rung - 1, min(rung, 1))
 
 
 def sketches(texts: list[str]) -> list[tuple[int, int, bytes]]:
     """(own, below, symbols) of each text: two sketches with their rungs in the top byte, as signed numbers, and the
-    symbols of their bands, one byte each. The lowest two rungs have none below: own again."""
-    walked, (shares, picks) = Walked(texts), sketch_places()
-    found = []
-    for k, n in enumerate(walked.sizes.tolist()):
-        rung, told_, symbols = rung_of(n), [], b""
-        for r in (rung, max(rung - 1, min(rung, 1))):
-            x = walked.symbols(k, (shares * 2 * rung_size(r)).astype(np.int64))
-            bits = x >> (np.arange(SKETCH) % 8).astype(np.uint8) & 1
-            told_.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes() + bytes([r]), "little", signed=True))
-            symbols += x[picks.ravel()].tobytes()
-        found.append((*told_, symbols))
+    symbols of their bands, one byte each."""
+    picks, at, found = sketch_places()[1].ravel(), (np.arange(SKETCH) % 8).astype(np.uint8), []
+    rungs = [rung_of(len(x)) for x in texts]
+    for rung, both in zip(rungs, symbols_of(texts, [sketch_steps(r) for r in rungs])):
+        bits = np.packbits(both.reshape(2, SKETCH) >> at & 1, axis=1, bitorder="little")
+        own, below = (int.from_bytes(x.tobytes() + bytes([r]), "little", signed=True) for x, r in zip(bits, (rung, rung_below(rung))))
+        found.append((own, below, both.reshape(2, SKETCH)[:, picks].tobytes()))
     return found
 
 

@@ -68,6 +68,17 @@ def grams(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield np.where(bad | (blank[:n] if not order else False), BUCKETS, hashed).astype(np.int64)
 
 
+#: A longer text is counted and scored in parts, each with the characters that its last n-grams reach into.
+PART = 2_000_000
+
+
+def pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The letters of the text's parts, and how many n-grams of each order begin in each."""
+    for begin in range(0, max(len(text), 1), PART):
+        own = normal(text[begin : begin + PART + ORDERS - 1])
+        yield own, min(PART, len(own))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -77,6 +88,8 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text under each language, over the whole text."""
+        if any(len(x) > PART for x in texts):
+            return np.concatenate([self._long(x) if len(x) > PART else self.scores([x]) for x in texts])
         codes = [normal(x) for x in texts]
         begins = np.cumsum([0, *(len(x) + 1 for x in codes)])[:-1]
         joined = np.concatenate([y for x in codes for y in (x, np.zeros(1, np.uint32))])
@@ -86,6 +99,13 @@ class Model:
                 total[:, k] += np.add.reduceat(self.table[k][buckets], begins, dtype=np.float64)
         return total
 
+    def _long(self, text: str) -> np.ndarray:
+        total = np.zeros((1, len(self.languages)))
+        for codes, n in pieces(text):
+            for buckets in grams(codes):
+                total[0] += [own[buckets[:n]].sum(dtype=np.float64) for own in self.table]
+        return total
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
@@ -102,9 +122,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(column(batch, "text"), column(batch, "lang")):
             counts = found.setdefault(lang.as_py(), np.zeros(BUCKETS + 1, np.int64))
-            for part in steps([text.as_py()]):
-                for buckets in grams(normal(part[0])):
-                    counts += np.bincount(buckets, minlength=BUCKETS + 1)
+            for codes, n in pieces(text.as_py()):
+                for buckets in grams(codes):
+                    counts += np.bincount(buckets[:n], minlength=BUCKETS + 1)
     yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([x[:-1].tobytes() for x in found.values()], pa.binary())], ["lang", "counts"])
 
 

@@ -185,6 +185,22 @@ def test_training_and_scores_against_plain_counting(spark):
         assert lang == [best] and abs(score[0] - 1 / sum(np.exp(v - total[best]) for v in total.values())) < 1e-4
 
 
+def test_long_texts_are_scored_in_parts(spark, monkeypatch):
+    r = random.Random(18)
+    texts = ["".join(r.choice("abcd EF  \u00e9") for _ in range(n)) for n in (0, 1, 50, 333)]
+    df = spark.createDataFrame([(k, t, "xy"[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    whole = language_id.train(df, F.lit(True))
+    scores = whole.scores(texts)
+    monkeypatch.setattr(language_id, "PART", 20)
+    assert np.allclose(whole.scores(texts), scores)
+    counts = np.zeros(language_id.BUCKETS + 1)
+    for codes, n in language_id.pieces(texts[3]):
+        for b in language_id.grams(codes):
+            counts += np.bincount(b[:n], minlength=language_id.BUCKETS + 1)
+    want = sum(np.bincount(b, minlength=language_id.BUCKETS + 1) for b in language_id.grams(language_id.normal(texts[3])))
+    assert (counts[:-1] == want[:-1]).all()
+
+
 def test_a_dirty_column_of_labels(spark):
     df = spark.createDataFrame([(k, "abc def", f"l{k}" if k % 2 else "common") for k in range(60)], "doc_id long, text string, lang string")
     model = language_id.train(df, F.lit(True), most=5)
@@ -693,6 +709,14 @@ def test_walks_side_by_side_are_those_one_by_one():
     assert edit_fingerprints.sampled(texts) == [edit_fingerprints.sampled([t])[0] for t in texts]
 
 
+def test_long_texts_are_walked_in_parts(monkeypatch):
+    r = random.Random(17)
+    texts = ["".join(r.choice("abcde \u00e9\u65e5") for _ in range(n)) for n in (999, 1000, 1001, 3000, 5, 0)]
+    whole = edit_fingerprints.sampled(texts), edit_fingerprints.sketches(texts)
+    monkeypatch.setattr(edit_fingerprints, "LONG", 100)
+    assert (edit_fingerprints.sampled(texts), edit_fingerprints.sketches(texts)) == whole
+
+
 def test_likeness_follows_edits():
     r = random.Random(6)
     text = "".join(r.choice("abcdefghij ") for _ in range(3000))
@@ -703,7 +727,7 @@ def test_likeness_follows_edits():
 
 
 def test_likeness_of_any_two_lengths():
-    texts = ["ab" * 2**k for k in range(14)]
+    texts = ["ab" * 2**k for k in range(5, 17)]
     prints = edit_fingerprints.sampled(texts)
     for a, x in enumerate(prints):
         for b, y in enumerate(prints):
