@@ -55,15 +55,18 @@ MARKS = 100_000
 HEAVY = 1000
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, within: bool = False) -> DataFrame:
     """rows joined by key to table, which has each key once. counted: a stored table with the keys of rows (none: rows
-    is one itself), from which the heavy keys are found.
+    is one itself), from which the heavy keys are found. within: table has no other keys than rows has, so that with
+    up to MARKS rows it is broadcast whole.
 
     A key may hold a third of the rows. Keys with more than a thousandth of them are fewer than a thousand, however
     many rows there are: what table has for these is broadcast and no row of theirs moves. All others are joined by
     a shuffle, of which no key is more than a thousandth."""
     counted = rows if counted is None else counted
     total = counted.count()
+    if within and total <= MARKS:
+        return rows.join(F.broadcast(table), key, how)
     heavy = stored(counted.groupBy(key).count().where((F.col("count") * HEAVY > total) & F.col(key).isNotNull()).select(key), "heavy-keys")
     marked = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), key, how)
     return marked.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(table, key, how))

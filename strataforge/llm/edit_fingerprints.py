@@ -370,7 +370,7 @@ def near_classes(documents: DataFrame) -> DataFrame:
     edges = links(nodes, APART, keys=_bands).union(found.where("own <> below").select(F.greatest("own", "below").alias("u"), F.least("own", "below").alias("v")).distinct())
     roots = components(edges).withColumnRenamed("node", "own")
     grouped = stored(join_unique(found.select("doc_id", "tie", "n_chars", "own"), roots, "own", "left").select("doc_id", "tie", "n_chars", F.coalesce("root", "own").alias("root")), "classes")
-    return join_unique(grouped, grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").drop("root")
+    return join_unique(grouped, grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root", within=True).drop("root")
 
 
 def fingerprints_of_edits(documents: DataFrame, parts: int | None = None) -> DataFrame:

@@ -194,9 +194,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while True:
         sides = now.union(now.select("v", "u"))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(join_unique(sides, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        large = stored(join_unique(sides, least, "u", within=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_unique(large, least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        small = join_unique(large, least, "u", within=True).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         now = stored(small, "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
@@ -213,7 +213,7 @@ def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, ke
     prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
     nodes = stored(prints.select("fp").distinct(), "nodes")
     roots = components(links(nodes, bits))
-    return join_unique(prints, roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
+    return join_unique(prints, roots.withColumnRenamed("node", "fp"), "fp", "left", within=True).select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, words_each: int = 3, bits: int = 3) -> DataFrame:
@@ -221,7 +221,7 @@ def near_duplicates(documents: DataFrame, words_each: int = 3, bits: int = 3) ->
     all are null."""
     grouped = stored(group_documents(documents, words_each, bits), "groups")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return join_unique(grouped, least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_unique(grouped, least, "root", within=True).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words_each: int = 3, bits: int = 3) -> DataFrame:
@@ -235,7 +235,7 @@ def one_of_each(documents: DataFrame, words_each: int = 3, bits: int = 3) -> Dat
     grouped = stored(group_documents(documents.select("doc_id", "text", digest.alias("digest")), words_each, bits, ("doc_id", "digest")).select(*_whole_key(), "root"), "groups")
     stay = grouped.groupBy("root").agg(F.min(F.struct("known", "own", "digest")).alias("stay"))
     key = F.struct("known", "own", "digest")
-    rows = stored(join_unique(grouped, stay, "root").groupBy("known", "own", "digest").agg(F.count("*").alias("times"), F.bool_or(key == F.col("stay")).alias("stays")), "stays")
+    rows = stored(join_unique(grouped, stay, "root", within=True).groupBy("known", "own", "digest").agg(F.count("*").alias("times"), F.bool_or(key == F.col("stay")).alias("stays")), "stays")
     held = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "doc_id", digest.alias("digest")).select("row", *_whole_key())
     moved = rows.where("not stays or times > 1")
     if moved.count() <= MARKS:
