@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
+from ..functions.packed import pack_deltas, unpack_deltas
 from ..functions.routing import child_of, partition_of
 from ..operators import deltas as D
 from ..operators import programs as P
@@ -112,6 +113,13 @@ def delta_column_merge(spark, sf_dir):
     return D.latest(_revived(spark, sf_dir), MERGE)
 
 
+@query(f"WITH {_DELTAS} SELECT * FROM d")
+def packed_delta_entries(spark, sf_dir):
+    """The log as packed entries and back."""
+    log = deltas_of(spark, sf_dir)
+    return unpack_deltas(pack_deltas(log, SPEC), log, SPEC)
+
+
 @query(f"{_LAST} SELECT x.* FROM ({_APPLIED} WHERE l.value_map <> 0) x")
 def delta_apply_update(spark, sf_dir):
     base, log = base_of(spark, sf_dir), deltas_of(spark, sf_dir)
