@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -397,15 +398,24 @@ def mixed_model(spark):
 
 def test_mixers_learn_from_all_training_documents(mixed_model):
     texts, counts, model = mixed_model
-    tokens = lm_mixing.tokens_of(texts, model.lexicon)
+    tokens = lm_mixing.tokens_of(pa.array(texts), model.lexicon)
     fresh = ~lm_mixing.again(tokens)[1]
     tree = model.lexicon.tree
     assert model.words.seen.sum() == (tree.nodes[tree.of[tokens.leaf[fresh]]] > 0).sum()
-    rare = [w for w in counts if w not in model.lexicon.leaf]
+    rare = [w for w in counts if w not in {b"\n", *model.lexicon.words.to_pylist()}]
     assert rare and model.letters.seen.sum() == len(model.lexicon.letter_bits(rare)[2])
     assert model.lexicon.rare == sum(counts[w] for w in rare) and model.lexicon.once == sum(counts[w] == 1 for w in rare)
 
 
+def test_word_hashes_and_slices():
+    words = [b"a", b"ab", b"ba", "\u00e9".encode(), b"x" * 500, b"ab"]
+    found = lm_mixing.word_hashes(pa.array([b"skipped", *words], pa.binary()).slice(1)).tolist()
+    assert found == lm_mixing.word_hashes(pa.array(words, pa.binary())).tolist() and found[1] == found[5] and len({*found}) == 5
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "ab", "", "c" * 50, "d", "e" * 9, None])], ["text"])
+    parts = [p.to_pylist() for p in lm_mixing.parts_of(batch, 10)]
+    assert [x for p in parts for x in p] == ["", "ab", "", "c" * 50, "d", "e" * 9, ""] and all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
+
+
 def test_what_tasks_learn_adds_up():
     one, two, all_ = (lm_mixing.Mixer(2, 1 << 10, 1, (0, 1)) for _ in range(3))
     one.weights[:], two.weights[:] = 1, 2
@@ -423,6 +433,7 @@ def test_tables_hold_the_counts_of_all_bits():
     hashes, bits = r.randint(0, 2**32, (2, 5000)).astype(np.uint32), r.randint(0, 2, 5000).astype(np.float32)
     for k in range(0, 5000, 700):
         mixer.learn(hashes[:, k : k + 700], np.arange(k, min(k + 700, 5000)) % 3, bits[k : k + 700])
+        mixer.count()
     for k in range(2):
         want = np.zeros((1 << 10, 2))
         for h, b in zip(hashes[k].tolist(), bits.tolist()):
@@ -467,14 +478,16 @@ def slow_score(model, counts, text):
             prefix ^= prefix >> 15
         return total
 
+    leaves = {b"\n": 1} | {w: k + 2 for k, w in enumerate(lexicon.words.to_pylist())}
+    hashed = lambda w: spread(wrap(sum((c + 1) * (spread(k, 29) | 1) for k, c in enumerate(w))), 31) >> 1
     words = lm_mixing.words_of(text) + [b"\n"]
-    states, held = lm_mixing.again(lm_mixing.tokens_of([text], lexicon))
+    states, held = lm_mixing.again(lm_mixing.tokens_of(pa.array([text]), lexicon))
     total, sums, kind = 0.0, np.zeros((2, 6)), 0
-    name = lambda w: wrap((lexicon.leaf.get(w) or zlib.crc32(w) | 1 << 31) + 1)
+    name = lambda w: wrap((leaves.get(w) or hashed(w) | 1 << 31) + 1)
     for t, w in enumerate(words):
-        leaf = lexicon.leaf.get(w, 0)
+        leaf = leaves.get(w, 0)
         one, two = name(words[t - 1]) if t else 0, name(words[t - 2]) if t > 1 else 0
-        last = int(lexicon.tree.of[lexicon.leaf.get(words[t - 1], 0)]) + 1 if t else 0
+        last = int(lexicon.tree.of[leaves.get(words[t - 1], 0)]) + 1 if t else 0
         x, y = spread(one, 11), spread(two, 13)
         contexts = [x, spread(x ^ y >> 1, 17), y, spread(kind * 128 + last, 19)]
         if 1 < leaf < 64:
@@ -504,11 +517,9 @@ def test_scores_are_those_of_loops(mixed_model, monkeypatch):
     some = [*texts[:25], "", "never seen words \u00e9 ax ax", " ".join(texts[30:60])]
     for block in (7, lm_mixing.BLOCK):
         monkeypatch.setattr(lm_mixing, "BLOCK", block)
-        tokens = lm_mixing.tokens_of(some, model.lexicon)
+        tokens = lm_mixing.tokens_of(pa.array(some), model.lexicon)
         costs, rare = model.token_costs(tokens)
-        words = [tokens.words[k] for k in tokens.number[rare]]
-        import pyarrow as pa
-
+        words = [tokens.words[int(k)].as_py() for k in tokens.number[rare]]
         costs[rare] += model.rare_costs(pa.array(words, pa.binary()), np.array([counts.get(w, 0) for w in words]))
         found = np.bincount(tokens.text, costs)
         assert np.allclose(found, [slow_score(model, counts, t) for t in some], rtol=1e-4, atol=1e-3)
@@ -524,21 +535,19 @@ def test_probabilities_of_all_next_tokens_sum_to_one(mixed_model):
     _, counts, model = mixed_model
     lexicon = model.lexicon
     for begin in ("", "ax by", "rare1 ax"):
-        ends = [w.decode() for w in lexicon.leaf if w != b"\n"] + ["neverseen", ""]
-        tokens = lm_mixing.tokens_of([f"{begin} {x}" for x in ends], lexicon)
+        ends = [w.decode() for w in lexicon.words.to_pylist()] + ["neverseen", ""]
+        tokens = lm_mixing.tokens_of(pa.array([f"{begin} {x}" for x in ends]), lexicon)
         costs = model.token_costs(tokens)[0]
         at = [int(np.flatnonzero(tokens.text == k)[len(begin.split())]) for k in range(len(ends))]
         assert abs(sum(10 ** costs[at]) - 1) < 1e-3
-    rare = [w for w in counts if w not in lexicon.leaf]
-    import pyarrow as pa
-
+    rare = [w for w in counts if w not in {b"\n", *lexicon.words.to_pylist()}]
     assert abs(sum(10 ** model.rare_costs(pa.array(rare, pa.binary()), np.array([counts[w] for w in rare]))) - (1 - lexicon.unknown())) < 1e-9
 
 
 def test_guesses_are_those_of_a_loop():
     r = random.Random(3)
-    lexicon = lm_mixing.Lexicon({b"\n": 1}, np.array([1, 1]), lm_mixing.Tree(np.array([1, 1]), np.arange(2)), lm_mixing.Code([1] * 256), 1, 1)
-    tokens = lm_mixing.tokens_of([" ".join(r.choice("abcd") for _ in range(40)) for _ in range(5)] + [""], lexicon)
+    lexicon = lm_mixing.Lexicon(pa.array([], pa.binary()), np.array([1, 1]), lm_mixing.Tree(np.array([1, 1]), np.arange(2)), lm_mixing.Code([1] * 256), 1, 1)
+    tokens = lm_mixing.tokens_of(pa.array([" ".join(r.choice("abcd") for _ in range(40)) for _ in range(5)] + [""]), lexicon)
     states, held = lm_mixing.again(tokens)
     for k in range(len(tokens.number)):
         begin = int(np.flatnonzero(tokens.text == tokens.text[k])[0])
@@ -550,8 +559,8 @@ def test_guesses_are_those_of_a_loop():
 def test_distinct_words_of_texts():
     r = random.Random(4)
     texts = ["".join(r.choice("abAB \t\n\x0b\x0c\r\x1c\x85\u00a0\u00e9") for _ in range(r.randrange(30))) for _ in range(2000)] + ["", " "]
-    words, number, sizes = lm_mixing.coded_words(texts)
-    flat = iter(number.tolist())
+    words, number, sizes = lm_mixing.coded_words(pa.array(texts))
+    words, flat = words.to_pylist(), iter(number.tolist())
     assert [[words[next(flat)] for _ in range(n)] for n in sizes.tolist()] == [*map(lm_mixing.words_of, texts)]
 
 
