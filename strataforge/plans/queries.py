@@ -443,9 +443,16 @@ def sort_topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100)
 
 
-@query("SELECT event_id, user_id, event_type FROM events")
+@query("SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY user_id, event_id) AS place FROM events")
 def sort_all(spark, sf_dir):
-    return P.sort_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id")
+    """Sorted, written, and read back with each row's place in the files: the order is in the result."""
+    path = _path(spark, "sorted")
+    files.write(P.sort_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id"), path)
+    rows = files.parquet_in_order(spark, path)
+    # a row a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("scan_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("scan_part").agg(F.count("*").alias("n")).select("scan_part", before.alias("before"))
+    return rows.join(starts, "scan_part").select("event_id", "user_id", "event_type", (F.col("before") + F.col("scan_row") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
