@@ -85,6 +85,20 @@ def test_texts_are_cut_where_chunks_end(monkeypatch):
     assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
 
 
+def test_joins_with_heavy_keys(spark, monkeypatch):
+    from strataforge.llm import common
+
+    rows = spark.createDataFrame([(k, "hot" if k % 3 == 0 else "warm" if k % 7 == 0 else None if k % 11 == 0 else f"k{k % 40}") for k in range(600)], "n long, key string").cache()
+    table = spark.createDataFrame([("hot", 1), ("warm", 2), *((f"k{k}", k) for k in range(30)), ("other", 9)], "key string, v long")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, rows.join(table, "key", how).select("n", "key", "v").collect()))
+        for heavy, marks in ((1000, 100_000), (10, 0), (4, 0)):
+            monkeypatch.setattr(common, "HEAVY", heavy)
+            monkeypatch.setattr(common, "MARKS", marks)
+            for within in (False, True):
+                assert sorted(map(repr, common.join_unique(rows, table, "key", how, within=within).select("n", "key", "v").collect())) == want
+
+
 # op1
 
 
