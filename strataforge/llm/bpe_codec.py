@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkEncoder, vocabulary
-from .common import column, steps, text_rows
+from .common import column, released, steps, text_rows
 
 #: Fixed value: how the vocabulary's tokenizer splits a text before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -222,4 +222,4 @@ def encode_and_decode(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json"
     Null text is empty (no ids); null keys and repeated rows stay; an empty table gives no rows; a word of any
     length is merged exactly; further columns are ignored."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full
-    return text_rows(documents).select("doc_id", "text").mapInArrow(_run(tokenizer, full), schema)
+    return text_rows(documents).select("doc_id", "text").mapInArrow(released(_run(tokenizer, full)), schema)

@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, join_unique, steps, stored, text_rows
+from .common import column, join_unique, released, steps, stored, text_rows
 from .simhash import components, links
 
 PERIOD = 1024
@@ -365,7 +365,7 @@ def near_classes(documents: DataFrame) -> DataFrame:
     Texts link if their sketches at one rung differ in APART bits or fewer and share a band; a class is what links
     join. Null text is empty, and empty texts are a class; equal texts have equal sketches and are one class."""
     rows = text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    found = stored(rows.mapInArrow(_sketched, "doc_id long, tie long, n_chars long, own long, below long, symbols binary"), "sketches")
+    found = stored(rows.mapInArrow(released(_sketched), "doc_id long, tie long, n_chars long, own long, below long, symbols binary"), "sketches")
     nodes = stored(found.select("own", "below", "symbols").distinct(), "nodes")
     edges = links(nodes, APART, keys=_bands).union(found.where("own <> below").select(F.greatest("own", "below").alias("u"), F.least("own", "below").alias("v")).distinct())
     roots = components(edges).withColumnRenamed("node", "own")
@@ -397,4 +397,4 @@ def fingerprints_of_edits(documents: DataFrame, parts: int | None = None) -> Dat
     dealt = texts.join(lists, "part").select("doc_id", "text", "tie", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "tie", "to.part", "to.guest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_id"), "text")
     both = dealt.unionByName(of.select("doc_id", "tie", "part", F.lit(0).alias("guest"), F.lit(0).alias("kind"), "class_id", F.lit(None).cast("string").alias("text")))
     ordered = both.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie", "kind")
-    return ordered.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+    return ordered.mapInArrow(released(_edited), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")

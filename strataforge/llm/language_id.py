@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import column, fold, steps, text_rows
+from .common import column, fold, released, steps, text_rows
 
 ORDERS = 3
 BUCKETS = 1 << 16
@@ -139,7 +139,7 @@ def train(documents: DataFrame, training: Column, sample: int = 3000, smooth: fl
     rates = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))))
     chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(1 << 20)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 20))
     # some thousand documents a language: a few tasks count them, each sends a row a language
-    rows = chosen.select("text", "lang").repartition(6).mapInArrow(_count, "lang string, counts binary").collect()
+    rows = chosen.select("text", "lang").repartition(6).mapInArrow(released(_count), "lang string, counts binary").collect()
     counts = np.full((len(languages), BUCKETS), smooth)
     for r in rows:
         counts[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
@@ -168,7 +168,7 @@ def predicted(documents: DataFrame, model: Model, names: tuple[str, str] = ("lan
     """documents with the prediction and its score appended; columns of these names are replaced."""
     rows = text_rows(documents).drop(*names)
     schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return rows.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model), names), schema)
+    return rows.mapInArrow(released(_predict(documents.sparkSession.sparkContext.broadcast(model), names)), schema)
 
 
 def training_fold() -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, steps, stored, text_rows
+from .common import column, released, steps, stored, text_rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, rank long, ids binary"
 
@@ -157,7 +157,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_
     A document is its ids and `end`; one of more than `capacity` ids is cut into pieces of `capacity`, of which
     the first may be shorter. Null text is empty (one piece: `end`); a null key stays null; repeated rows are
     packed each; an empty table gives no rows; further columns are ignored."""
-    pieces = stored(text_rows(documents).select("doc_id", "text").mapInArrow(_pieces(tokenizer, end, capacity, with_ids), PIECES), "pieces")
+    pieces = stored(text_rows(documents).select("doc_id", "text").mapInArrow(released(_pieces(tokenizer, end, capacity, with_ids)), PIECES), "pieces")
     blocks = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     # at most `capacity` rows come to the driver, whatever the corpus
     moves, _ = plan_packing({int(r["length"]): int(r["n"]) for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
@@ -167,4 +167,4 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_
     ranked = pieces.join(starts, ["block", "length"]).select(*kept, (F.col("rank") + F.col("before")).alias("rank"))
     types = dict(x.split() for x in PIECES.split(", "))
     schema = ", ".join(f"{x} {types[x]}" for x in kept) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_places(moves), schema)
+    return ranked.mapInArrow(released(_places(moves)), schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, column, join_unique, stored, text_rows
+from .common import MARKS, column, join_unique, released, stored, text_rows
 
 #: Fixed value: the generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
 GOLAY = 0b101011100011
@@ -169,7 +169,7 @@ def links(nodes: DataFrame, bits: int = 3, run_limit: int = 20_000, keys=_keys)
 
     Keys with more than run_limit rows are found in two steps, since almost all have few: rows are counted by hashed
     buckets of keys, some hundred rows a bucket on average, and by key only in the buckets beyond the limit."""
-    keys = nodes.mapInArrow(keys, "key long, fp long")
+    keys = nodes.mapInArrow(released(keys), "key long, fp long")
     bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, nodes.count() * 40 * 64 // run_limit))).alias("bucket")
     full = stored(keys.groupBy(bucket).count().where(F.col("count") > run_limit).select("bucket"), "full-buckets")
     if full.isEmpty():
@@ -181,7 +181,7 @@ def links(nodes: DataFrame, bits: int = 3, run_limit: int = 20_000, keys=_keys)
     # a member of block x goes to the meetings (x, y) for every block y
     meeting = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda y: F.least(own, y) * F.col("blocks") + F.greatest(own, y))))
     dealt = keys.join(heavy, "key", "left").select("key", meeting.alias("block"), "fp").repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(bits), "u long, v long").distinct()
+    return dealt.mapInArrow(released(_links(bits)), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -210,7 +210,7 @@ def group_documents(documents: DataFrame, words_each: int = 3, bits: int = 3, ke
     Null and empty texts have the fingerprint 0 and are linked like any other; null keys and repeated rows stay;
     an empty table gives no rows; columns not in keep are ignored; a text of any length counts whole."""
     fields = {x.name: x.dataType.simpleString() for x in documents.schema.fields}
-    prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(_fingerprints(words_each), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
+    prints = stored(text_rows(documents).select(*keep, "text").mapInArrow(released(_fingerprints(words_each)), ", ".join(f"`{x}` {fields[x]}" for x in keep) + ", fp long"), "fingerprints")
     nodes = stored(prints.select("fp").distinct(), "nodes")
     roots = components(links(nodes, bits))
     return join_unique(prints, roots.withColumnRenamed("node", "fp"), "fp", "left", within=True).select(*keep, "fp", F.coalesce("root", "fp").alias("root"))

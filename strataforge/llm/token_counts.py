@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, fetch_texts, join_unique, new_folder, steps, stored, text_rows
+from .common import column, fetch_texts, join_unique, new_folder, released, steps, stored, text_rows
 
 CACHE = "tokenizer_digest string, content_digest string, n_tokens long"
 
@@ -68,7 +68,7 @@ def count_tokens(documents: DataFrame, cache: str | None = None, tokenizer: str
     rows = stored(digested.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
     misses = rows.join(known.select("content_digest"), "content_digest", "left_anti").groupBy("content_digest").agg(F.min("doc_id").alias("stand_in"))
-    fetch_texts(digested, misses).mapInArrow(_count(tokenizer, version), CACHE).write.mode("append").parquet(cache)
+    fetch_texts(digested, misses).mapInArrow(released(_count(tokenizer, version)), CACHE).write.mode("append").parquet(cache)
     # two runs at a time may both have added a digest; their counts are the same
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return join_unique(rows, counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

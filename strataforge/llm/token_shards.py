@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, steps, tasks_for, text_rows
+from .common import column, released, steps, tasks_for, text_rows
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQIH6x8s")
@@ -269,7 +269,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         raise ValueError(f"the end doesn't fit into {width} bytes")
     rows = text_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return sorted(dealt.mapInArrow(_write(folder, tokenizer, end, width), MANIFEST).collect(), key=lambda r: r["shard"])
+    return sorted(dealt.mapInArrow(released(_write(folder, tokenizer, end, width)), MANIFEST).collect(), key=lambda r: r["shard"])
 
 
 def _read(paths: list[str], bases: list[int], with_ids: bool):
@@ -302,7 +302,7 @@ def read_shards(spark: SparkSession, manifest: list, with_ids: bool = True) -> D
     the ids of all documents before it. with_ids=False leaves ids null and saves moving them."""
     paths = [r["path"] for r in manifest]
     bases = [0, *accumulate(r["ids"] for r in manifest)][: len(paths)]
-    return spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(_read(paths, bases, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(released(_read(paths, bases, with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def lookup(manifest: list, identifier: int | None) -> list[np.ndarray]:
