@@ -8,7 +8,9 @@ A text is its words, lower-cased (A-Z), and one end. A token is coded in binary
   class    Otherwise up to DEPTH decisions lead down a tree of classes, whose leaves are the `head` most frequent
            words, the end and an escape, in an order that puts words of like documents together and splits them by
            weight. Each bit is predicted in four hashed contexts: the last word; the last two; the one before the
-           last (a skip); the last very frequent word with the last word's class. A word is then its share of its class.
+           last (a skip); the last very frequent word with the last word's class.
+  word     Decisions lead on within the class, which is parted likewise until a word is alone. Each bit is predicted in the
+           same four contexts and by the words' weights.
   rare     After an escape one decision tells whether the word is known to the training documents, however rare.
            A known word is its share of all such words, by its exact count, which it meets in a join.
   letters  An unknown word is the Huffman code of its bytes and of a closing byte; each bit is predicted in hashed
@@ -36,6 +38,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +66,10 @@ LEVELS = 6
 #: Tokens of a block; bits of what a document has shown count against so many of no difference.
 BLOCK = 16_384
 CALM = 12.0
-#: Frozen predictions are whole tenths of the logistic domain.
+#: The contexts of decisions within a class: all four.
+INNER = (0, 1, 2, 3)
+INNER_POSITIONS = 8
+#: Predictions are whole tenths of the logistic domain.
 TENTH = np.float32(0.1)
 
 
@@ -151,17 +157,22 @@ def squash(x):
     return 1 / (1 + np.exp(-x))
 
 
+def of_bits(p: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The probability of each of these bits, where p is that of a one. Without a branch, which bits would make slow."""
+    return np.abs(1 - bits - p)
+
+
 class Mixer:
-    """Predictors of one kind of bit: counts of zeros and ones [contexts, slots, 2], or when frozen their stretched
-    quotients and levels by slot; weights and map by gate. A gate is a position (the depth of a bit) and the levels
-    of the two contexts in `watched`."""
+    """Predictors of one kind of bit: counts of zeros and ones [contexts, slots, 2], their stretched
+    quotients in tenths and levels by slot; weights and map by gate. A gate is a position (the depth of a bit) and the levels
+    of the two contexts in `watched`. `known` predictions more, stretched, come with the bits."""
 
-    def __init__(self, contexts: int, slots: int, positions: int, watched: tuple[int, int]):
+    def __init__(self, contexts: int, slots: int, positions: int, watched: tuple[int, int], known: int = 0):
         self.contexts, self.slots, self.positions, self.watched = contexts, slots, positions, watched
         self.shift = np.uint32(32 - (slots.bit_length() - 1))
         self.gates = positions * LEVELS * LEVELS
-        self.weights = np.full((self.contexts + 1, self.gates), 0.3, np.float32)
-        self.weights[-1] = 0
+        self.weights = np.full((self.contexts + known + 1, self.gates), 0.3, np.float32)
+        self.weights[self.contexts :], self.weights[-1] = 1, 0
         self.map_ = np.tile(squash(np.linspace(-LIMIT, LIMIT, MAP_STEPS)), (self.gates, 1)).astype(np.float32)
         self.seen = np.zeros(self.gates)
         self.met, self.ones = (np.zeros((self.gates, MAP_STEPS)) for _ in range(2))
@@ -172,14 +183,15 @@ class Mixer:
 
     def opened(self) -> Mixer:
         """With empty tables, to learn."""
-        self.table = np.zeros((self.contexts, self.slots * 2), np.float32)
-        self.frozen = np.zeros((self.contexts, self.slots), np.float32), np.zeros((2, self.slots), np.uint8)
+        self.table = np.zeros((self.contexts, self.slots * 2), np.uint32)
+        self.frozen = np.zeros((self.contexts, self.slots), np.int8), np.zeros((2, self.slots), np.uint8)
         self.new = [[] for _ in range(self.contexts)]
         return self
 
     @staticmethod
-    def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        return np.clip(np.log((ones + np.float32(0.1)) / (zeros + np.float32(0.1))), -LIMIT, LIMIT)
+    def tenths(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        stretched = np.clip(np.log((ones + np.float32(0.1)) / (zeros + np.float32(0.1))), -LIMIT, LIMIT)
+        return np.rint(stretched / TENTH).astype(np.int8)
 
     @staticmethod
     def level(seen: np.ndarray) -> np.ndarray:
@@ -188,33 +200,32 @@ class Mixer:
     def inputs(self, hashes: np.ndarray, positions: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
         """Stretched predictions by context, gates, and the slots; of bits with these context hashes [contexts, n]."""
         slots = [(h >> self.shift).astype(np.int64) for h in hashes]
-        found = [values[slot] for values, slot in zip(self.frozen[0], slots)]
-        if self.table is None:
-            found = [x * TENTH for x in found]
-        low, high = (levels[slots[k]] for levels, k in zip(self.frozen[1], self.watched))
+        found = [values.take(slot) * TENTH for values, slot in zip(self.frozen[0], slots)]
+        low, high = (levels.take(slots[k]) for levels, k in zip(self.frozen[1], self.watched))
         return found, (positions * LEVELS + high) * LEVELS + low, slots
 
     def mixed(self, found: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        dot = self.weights[-1][gate]
+        dot = self.weights[-1].take(gate)
         for k, x in enumerate(found):
-            dot = dot + self.weights[k][gate] * x
+            dot += self.weights[k].take(gate) * x
         return np.clip(dot, -LIMIT, LIMIT)
 
     def probability(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one: half the mixer's, half the map's, between its nearest two entries."""
         place = (dot + np.float32(LIMIT)) * np.float32((MAP_STEPS - 1) / (2 * LIMIT))
         low = np.minimum(place.astype(np.int64), MAP_STEPS - 2)
-        share = place - low
+        share = place - low.astype(np.float32)
         flat, at = self.map_.ravel(), gate * MAP_STEPS + low
-        mapped = flat[at] * (1 - share) + flat[at + 1] * share
+        mapped = flat.take(at) * (1 - share) + flat.take(at + 1) * share
         return np.clip(np.float32(0.5) * (mapped + squash(dot)), np.float32(1e-5), np.float32(1 - 1e-5))
 
-    def learn(self, hashes: np.ndarray, positions: np.ndarray, bits: np.ndarray, rate: float = 0.02) -> None:
-        """Online: the block is predicted by what was learned before and moves weights and map by its error; its bits wait
-        for count()."""
+    def learn(self, hashes: np.ndarray, positions: np.ndarray, bits: np.ndarray, rate: float = 0.02, known: tuple[np.ndarray, ...] = ()) -> None:
+        """Online: the block is predicted by what was learned before and moves weights and map by its error; its bits
+        wait for count()."""
         if not len(bits):
             return
         found, gate, slots = self.inputs(hashes, positions)
+        found += known
         dot = self.mixed(found, gate)
         wrong = bits - squash(dot)
         seen = np.bincount(gate, minlength=self.gates)
@@ -229,19 +240,20 @@ class Mixer:
         one = bits.astype(np.int32)
         for k, slot in enumerate(slots):
             self.new[k].append(2 * slot.astype(np.int32) + one)
+        self.counted += len(bits)
 
     def count(self) -> None:
-        """Adds the bits that wait to the tables. Predictions are made anew from these when they have grown by a fifth."""
-        for k, new in enumerate(self.new):
-            if new:
-                self.table[k] += np.bincount(np.concatenate(new), minlength=2 * self.slots)
-                self.counted += sum(map(len, new)) if not k else 0
-                new.clear()
+        """Adds the bits that wait to the tables, one table after the other. Predictions are made anew from these when they
+        have grown by a fifth."""
+        for table, new in zip(self.table, self.new):
+            for at in new:
+                np.add.at(table, at, np.uint32(1))
+            new.clear()
         if self.counted > 1.2 * self.refreshed:
             self.refreshed = self.counted
             for k, table in enumerate(self.table):
-                zeros, ones = table[0::2], table[1::2]
-                self.frozen[0][k] = self.stretched(zeros, ones)
+                zeros, ones = table.astype(np.float32).reshape(-1, 2).T
+                self.frozen[0][k] = self.tenths(zeros, ones)
                 if k in self.watched:
                     self.frozen[1][self.watched.index(k)] = self.level(zeros + ones)
 
@@ -251,7 +263,7 @@ class Mixer:
 
     @property
     def size(self) -> int:
-        return self.gates * (1 + 2 * MAP_STEPS + self.contexts + 1)
+        return self.gates * (1 + 2 * MAP_STEPS + len(self.weights))
 
     def take(self, total: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> None:
         """Of the added numbers of all tasks: the mean of the weights by the bits seen at each gate; the map's entries are
@@ -266,31 +278,68 @@ class Mixer:
 
 
 class Tree:
-    """Classes of leaves 0..n-1, which stand in order: by halves of their weight, DEPTH times or until one is left. Inner
-    nodes are numbered as in a heap, from 1; nodes[class] is its path, 0 where it has ended, bits[class] its turns."""
+    """Classes of leaves 0..n-1, which stand in order: by halves of their weight, DEPTH times or until one is left; where
+    few are left, so that each has a class of its own. Nodes are numbered as in a heap, from 1; nodes[class] is its path,
+    0 where it has ended, bits[class] its turns.
+
+    The leaves of a class are parted likewise until each is alone. The nodes of all classes are numbered on; of each,
+    place is its number in its class, the upper ones first, and prior the log of the odds of a one by the weights."""
 
     def __init__(self, weights: np.ndarray, order: np.ndarray):
         total = np.r_[0, np.cumsum(weights[order].astype(np.float64))]
         self.of = np.zeros(len(order), np.int64)
         paths: list[list[tuple[int, int]]] = []
+        spans: list[tuple[int, int]] = []
+
+        def half(low: int, high: int) -> int:
+            cut = int(np.searchsorted(total, (total[low] + total[high]) / 2))
+            if cut > low + 1 and total[cut] + total[cut - 1] > total[low] + total[high]:
+                cut -= 1
+            return min(max(cut, low + 1), high - 1)
+
         waiting = [(0, len(order), 1, [])]
         while waiting:
             low, high, node, path = waiting.pop()
             if high - low == 1 or len(path) == DEPTH:
                 self.of[order[low:high]] = len(paths)
                 paths.append(path)
+                spans.append((low, high))
                 continue
-            cut = int(np.searchsorted(total, (total[low] + total[high]) / 2))
-            if cut > low + 1 and total[cut] + total[cut - 1] > total[low] + total[high]:
-                cut -= 1
-            cut = min(max(cut, low + 1), high - 1)
+            cut, room = half(low, high), 1 << DEPTH - len(path) - 1
+            if high - low <= 2 * room:
+                cut = min(max(cut, high - room), low + room)
             waiting += [(cut, high, 2 * node + 1, [*path, (node, 1)]), (low, cut, 2 * node, [*path, (node, 0)])]
         self.nodes, self.bits = np.zeros((len(paths), DEPTH), np.uint32), np.zeros((len(paths), DEPTH), np.float32)
         for k, path in enumerate(paths):
             for d, (node, bit) in enumerate(path):
                 self.nodes[k, d], self.bits[k, d] = node, bit
+        place, prior, turns = [], [], [()] * len(order)
+        for span in spans:
+            first, queue = len(place), [(*span, ())]
+            for low, high, path in queue:
+                if high - low == 1:
+                    turns[order[low]] = path
+                    continue
+                cut, own = half(low, high), 2 * len(place)
+                place.append(len(place) - first)
+                prior.append(math.log((total[high] - total[cut]) / (total[cut] - total[low])))
+                queue += [(low, cut, (*path, own)), (cut, high, (*path, own + 1))]
+        self.place, self.prior = np.array(place, np.uint32), np.array(prior, np.float32)
+        self.sizes = np.fromiter(map(len, turns), np.int64, len(turns))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.turns = np.fromiter((x for path in turns for x in path), np.int32, self.sizes.sum())
+        # of a leaf in its class by weight alone: what the priors on its way give together
         self.share = np.log10(weights / np.bincount(self.of, weights)[self.of])
 
+    def inside(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, bits, depths, place in leaves) of all decisions within the classes of these leaves."""
+        sizes = self.sizes[leaves]
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(leaves)), sizes)
+        depth = np.arange(len(of)) - (ends - sizes).take(of)
+        turns = self.turns.take(self.starts[leaves].take(of) + depth)
+        return turns >> 1, (turns & 1).astype(np.float32), depth, of
+
 
 @dataclass
 class Lexicon:
@@ -432,6 +481,16 @@ def class_bits(tokens: Tokens, rows: np.ndarray, tree: Tree) -> tuple[np.ndarray
     return np.stack([(c[rows].repeat(DEPTH) + marks) * np.uint32(0x9E3779B1) for c in tokens.contexts]), nodes, bits
 
 
+def inner_bits(tokens: Tokens, rows: np.ndarray, tree: Tree, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes [INNER, n], positions, bits, priors, place in rows) of the decisions within these tokens' classes. In a
+    context a class has slots side by side, so that its upper nodes are near in memory."""
+    leaves = tokens.leaf[rows]
+    nodes, bits, depth, of = tree.inside(leaves)
+    marks, aside = spread(tree.of[leaves], 31), tree.place.take(nodes) << np.uint32(33 - slots.bit_length())
+    hashes = np.stack([((tokens.contexts[k][rows] ^ marks) * np.uint32(0x9E3779B1)).take(of) + aside for k in INNER])
+    return hashes, np.minimum(depth, INNER_POSITIONS - 1), bits, tree.prior.take(nodes), of
+
+
 def depths(n: int) -> np.ndarray:
     return np.tile(np.arange(DEPTH), n)
 
@@ -442,6 +501,7 @@ class Model:
     words: Mixer
     letters: Mixer
     again: np.ndarray
+    inner: Mixer
 
     def letter_costs(self, words: list[bytes]) -> np.ndarray:
         """log10 of the probability of each of these words' letters."""
@@ -451,7 +511,7 @@ class Model:
             hashes, positions, bits, of = self.lexicon.letter_bits(part)
             inputs, gate, _ = self.letters.inputs(hashes, positions)
             p = self.letters.probability(self.letters.mixed(inputs, gate), gate)
-            found.append(np.bincount(of, np.log10(np.where(bits > 0, p, 1 - p)), len(part)))
+            found.append(np.bincount(of, np.log10(of_bits(p, bits)), len(part)))
         return np.concatenate(found)
 
     def class_costs(self, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
@@ -464,8 +524,8 @@ class Model:
             hashes, nodes, bits = class_bits(tokens, part, self.lexicon.tree)
             inputs, gate, _ = self.words.inputs(hashes, depths(len(part)))
             p = self.words.probability(self.words.mixed(inputs, gate), gate)
-            real = nodes > 0
-            sums = np.stack([np.where(real, bits - p, 0), np.where(real, p * (1 - p), 0)]).reshape(2, -1, DEPTH)
+            real = (nodes > 0).astype(np.float32)
+            sums = np.stack([(bits - p) * real, p * (1 - p) * real]).reshape(2, -1, DEPTH)
             upto = np.cumsum(sums, axis=1, dtype=np.float32) - sums
             text = tokens.text[part]
             first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
@@ -478,8 +538,19 @@ class Model:
             kept, text_kept = past[:, -1] + sums[:, -1], text[-1]
             # of the odds, times e to the shift
             odds = p / (1 - p) * np.exp(shift)
-            p = np.where(bits > 0, odds, np.float32(1)) / (1 + odds)
-            found.append(np.log10(np.where(real, p, np.float32(1)).reshape(-1, DEPTH).prod(axis=1, dtype=np.float64)))
+            p = (bits * odds + (1 - bits)) / (1 + odds)
+            found.append(np.log10(reduce(np.multiply, (p * real + (1 - real)).astype(np.float64).reshape(-1, DEPTH).T)))
+        return np.concatenate(found)
+
+    def inner_costs(self, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
+        """log10 of the probability of these tokens within their classes."""
+        found = [np.zeros(0)]
+        for begin in range(0, len(rows), BLOCK):
+            part = rows[begin : begin + BLOCK]
+            hashes, positions, bits, prior, of = inner_bits(tokens, part, self.lexicon.tree, self.inner.slots)
+            inputs, gate, _ = self.inner.inputs(hashes, positions)
+            p = self.inner.probability(self.inner.mixed([*inputs, prior], gate), gate)
+            found.append(np.bincount(of, np.log10(of_bits(p, bits)), len(part)))
         return np.concatenate(found)
 
     def token_costs(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +558,7 @@ class Model:
         states, held = again(tokens)
         told = np.where(states >= 0, np.log10(np.where(held, self.again[states], 1 - self.again[states])), 0)
         rows = np.flatnonzero(~held)
-        told[rows] += self.class_costs(tokens, rows) + self.lexicon.tree.share[tokens.leaf[rows]]
+        told[rows] += self.class_costs(tokens, rows) + self.inner_costs(tokens, rows)
         return told, ~held & (tokens.leaf == 0)
 
     def rare_costs(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
@@ -501,13 +572,19 @@ class Model:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, likes): counts, apart for groups of documents that are alike in their most frequent word. Counts are added
-    up in Arrow tables; those of too many words are sent on."""
+    """(word, n, best): counts, and the most that one group of documents has, times GROUPS, with the group's number; a group
+    is of documents that are alike in their most frequent word. Counts are added up in Arrow tables; those of too many
+    words are sent on."""
     held: list[pa.Table] = []
 
     def added() -> pa.Table:
         return pa.concat_tables(held).group_by(["word", "likes"]).aggregate([("n", "sum")]).rename_columns(["word", "likes", "n"]).select(["word", "n", "likes"])
 
+    def sent(table: pa.Table) -> list[pa.RecordBatch]:
+        best = pc.add(pc.multiply(table["n"], GROUPS), table["likes"].cast(pa.int64()))
+        whole = table.append_column("best", best).group_by("word").aggregate([("n", "sum"), ("best", "max")])
+        return whole.rename_columns(["word", "n", "best"]).combine_chunks().to_batches(100_000)
+
     def rows(words: pa.Array, times: np.ndarray, likes: np.ndarray) -> pa.Table:
         return pa.table({"word": words, "n": pa.array(times.astype(np.int64)), "likes": pa.array(likes.astype(np.int32))})
 
@@ -528,9 +605,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, held)) > 900_000:
                 held = [added()]
                 if len(held[0]) > 300_000:
-                    yield from held.pop().combine_chunks().to_batches(100_000)
+                    yield from sent(held.pop())
     if held:
-        yield from added().combine_chunks().to_batches(100_000)
+        yield from sent(added())
 
 
 def _stripe_rows(table: np.ndarray, first: int) -> pa.RecordBatch:
@@ -548,7 +625,7 @@ def _filled(x: np.ndarray) -> np.ndarray:
 def _learned_words(shared, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
-        mixer, states = word_mixer(slots).opened(), np.zeros(2 * AGAIN)
+        mixer, inner, states = word_mixer(slots).opened(), inner_mixer(slots).opened(), np.zeros(2 * AGAIN)
         for batch in batches:
             for part in parts_of(batch):
                 tokens = tokens_of(part, lexicon)
@@ -559,11 +636,17 @@ def _learned_words(shared, slots: int):
                     hashes, nodes, bits = class_bits(tokens, rows[begin : begin + BLOCK], lexicon.tree)
                     real = np.flatnonzero(nodes)
                     mixer.learn(hashes[:, real], real % DEPTH, bits[real])
+                    hashes, positions, bits, prior, _ = inner_bits(tokens, rows[begin : begin + BLOCK], lexicon.tree, slots)
+                    inner.learn(hashes, positions, bits, known=(prior,))
                     if begin // BLOCK % 32 == 31:
                         mixer.count()
+                        inner.count()
                 mixer.count()
+                inner.count()
+        stripes = mixer.table.size // STRIPE
         yield _stripe_rows(mixer.table, 0)
-        yield _stripe_rows(_filled(np.concatenate([states, mixer.told()])), mixer.table.size // STRIPE)
+        yield _stripe_rows(inner.table, stripes)
+        yield _stripe_rows(_filled(np.concatenate([states, mixer.told(), inner.told()])), stripes + inner.table.size // STRIPE)
 
     return run
 
@@ -591,6 +674,10 @@ def word_mixer(slots: int) -> Mixer:
     return Mixer(4, slots, DEPTH, (0, 1))
 
 
+def inner_mixer(slots: int) -> Mixer:
+    return Mixer(len(INNER), slots, INNER_POSITIONS, (0, 1), 1)
+
+
 def letter_mixer() -> Mixer:
     return Mixer(4, LETTER_SLOTS, 1, (2, 3))
 
@@ -614,7 +701,7 @@ def _freeze_stripes(tables: int):
         total, stripe = _summed_data(table).astype(np.float32), table["stripe"][0].as_py()
         if stripe < tables:
             zeros, ones = total.reshape(-1, 2).T
-            total = np.stack([np.rint(Mixer.stretched(zeros, ones) / TENTH), Mixer.level(zeros + ones)]).astype(np.int8)
+            total = np.stack([Mixer.tenths(zeros, ones), Mixer.level(zeros + ones).astype(np.int8)])
         return pa.table({"stripe": table["stripe"][:1], "data": pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     return run
@@ -644,8 +731,8 @@ def train(documents: DataFrame, training: Column, head: int = 60_000) -> tuple[D
     of the rows for which `training` is true."""
     spark = documents.sparkSession
     texts = text_rows(documents).where(training).select("text")
-    counted = texts.mapInArrow(released(_word_counts), "word binary, n long, likes int").groupBy("word")
-    counts = stored(counted.agg(F.sum("n").alias("n"), F.max(F.struct("n", "likes"))["likes"].alias("likes")), "word-counts")
+    counted = texts.mapInArrow(released(_word_counts), "word binary, n long, best long").groupBy("word")
+    counts = stored(counted.agg(F.sum("n").alias("n"), F.pmod(F.max("best"), F.lit(GROUPS)).cast("int").alias("likes")), "word-counts")
     end = F.col("word") == END
     total, distinct, rows, once = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(end, F.col("n"))), F.lit(0)), F.count_if((F.col("n") == 1) & ~end)).first())
     # the most frequent words, by eighths of octaves of their counts, as long as there are `head` at most: what comes to
@@ -671,13 +758,15 @@ def train(documents: DataFrame, training: Column, head: int = 60_000) -> tuple[D
     slots = min(MOST_SLOTS, max(STRIPE, 1 << (4 * distinct).bit_length()))
     shared = spark.sparkContext.broadcast(lexicon)
     stripes = "stripe int, task int, data binary"
-    words, spelled = word_mixer(slots), letter_mixer()
-    tenths, levels, numbers = _gathered(texts.mapInArrow(released(_learned_words(shared, slots)), stripes), slots, words.contexts, texts.rdd.getNumPartitions())
-    words.take(numbers[2 * AGAIN :], (tenths, levels))
+    words, inner, spelled = word_mixer(slots), inner_mixer(slots), letter_mixer()
+    tenths, levels, numbers = _gathered(texts.mapInArrow(released(_learned_words(shared, slots)), stripes), slots, words.contexts + inner.contexts, texts.rdd.getNumPartitions())
+    own = words.contexts * slots
+    words.take(numbers[2 * AGAIN :], (tenths[:own], levels[:own]))
+    inner.take(numbers[2 * AGAIN + words.size :], (tenths[own:], levels[own:]))
     states = numbers[: 2 * AGAIN].reshape(AGAIN, 2) + 0.4
     tenths, levels, numbers = _gathered(counts.where(~end).select("word").mapInArrow(released(_learned_letters(shared)), stripes), LETTER_SLOTS, spelled.contexts, counts.rdd.getNumPartitions())
     spelled.take(numbers, (tenths, levels))
-    return counts.select("word", "n"), Model(lexicon, words, spelled, states[:, 1] / states.sum(axis=1))
+    return counts.select("word", "n"), Model(lexicon, words, spelled, states[:, 1] / states.sum(axis=1), inner)
 
 
 def _score(shared):
@@ -737,7 +826,8 @@ def score_documents(documents: DataFrame, head: int = 60_000) -> DataFrame:
     rows = documents.select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out")).mapInArrow(released(_score(shared)), schema)
     scored = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     words = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"), "x.spelled")
-    met = words.join(counts, "word", "left").select("row", "word", "times", "spelled", "n")
+    # neither side is sorted: of the counts, each once, a task holds its part
+    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("row", "word", "times", "spelled", "n")
     told = met.mapInArrow(released(_rare(shared)), "row long, more double, more_score double, more_known long")
     rest = told.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_score").alias("more_score"), F.sum("more_known").alias("more_known"))
     whole = scored.drop("rare").join(rest, "row", "left")

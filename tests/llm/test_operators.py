@@ -558,6 +558,65 @@ def test_probabilities_of_all_next_tokens_sum_to_one(mixed_model):
     assert abs(sum(10 ** model.rare_costs(pa.array(rare, pa.binary()), np.array([counts[w] for w in rare]))) - (1 - lexicon.unknown())) < 1e-9
 
 
+@pytest.fixture(scope="module")
+def paired_model(spark):
+    r = random.Random(17)
+    pairs_ = [f"a{k} b{k}" for k in range(300)]
+    texts = [" ".join(r.sample(pairs_, 20)) for _ in range(1500)]
+    return texts, lm_mixing.train(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4), F.lit(True), head=1000)[1]
+
+
+def test_words_are_mixed_within_their_classes(paired_model):
+    texts, model = paired_model
+    tree = model.lexicon.tree
+    tokens = lm_mixing.tokens_of(pa.array(texts[:40]), model.lexicon)
+    costs, rare = model.token_costs(tokens)
+    rows = np.arange(len(costs))
+    classes, share = model.class_costs(tokens, rows), tree.share[tokens.leaf]
+    follows = np.array([x.as_py()[:1] == b"b" for x in tokens.words])[tokens.number]
+    assert not rare.any() and share[follows].mean() < -0.5
+    # a word that always follows the last one costs less than half of what its share of the class does
+    assert (costs - classes)[follows].mean() > 0.5 * share[follows].mean()
+
+
+def test_decisions_within_classes_are_those_of_loops(paired_model):
+    texts, model = paired_model
+    tree, m = model.lexicon.tree, model.inner
+    wrap = lambda x: x % 2**32
+    tokens = lm_mixing.tokens_of(pa.array(texts[:3]), model.lexicon)
+    found, bits = model.inner_costs(tokens, np.arange(len(tokens.number))), m.slots.bit_length() - 1
+    for t, leaf in enumerate(tokens.leaf.tolist()):
+        mark = int(lm_mixing.spread(np.array([tree.of[leaf]]), 31)[0])
+        total = 0.0
+        for d, turn in enumerate(tree.turns[tree.starts[leaf] : tree.starts[leaf] + tree.sizes[leaf]].tolist()):
+            node, bit = divmod(turn, 2)
+            slots = [wrap((int(c[t]) ^ mark) * 0x9E3779B1 + (int(tree.place[node]) << 32 - bits)) >> 32 - bits for c in tokens.contexts]
+            low, high = (int(m.frozen[1][k][slots[k]]) for k in (0, 1))
+            gate = (min(d, 7) * 6 + high) * 6 + low
+            x = [*(0.1 * int(m.frozen[0][k][s]) for k, s in enumerate(slots)), float(tree.prior[node]), 1.0]
+            dot = min(max(sum(float(m.weights[k][gate]) * v for k, v in enumerate(x)), -12), 12)
+            place = (dot + 12) * 32 / 24
+            at = min(int(place), 31)
+            p = min(max(0.5 * (m.map_[gate, at] * (1 - place + at) + m.map_[gate, at + 1] * (place - at) + 1 / (1 + np.exp(-dot))), 1e-5), 1 - 1e-5)
+            total += np.log10(p if bit else 1 - p)
+        assert abs(total - found[t]) < 1e-3
+
+
+def test_probabilities_of_all_words_of_all_classes_sum_to_one(paired_model):
+    _, model = paired_model
+    tree = model.lexicon.tree
+    words = ["", "neverseen", *(w.decode() for w in model.lexicon.words.to_pylist())]
+    assert max(np.bincount(tree.of)) > 4
+    for begin in ("", "a5", "a5 b5 a7"):
+        tokens = lm_mixing.tokens_of(pa.array([f"{begin} {x}" for x in words]), model.lexicon)
+        costs = model.token_costs(tokens)[0]
+        at = [int(np.flatnonzero(tokens.text == k)[len(begin.split())]) for k in range(len(words))]
+        assert abs(sum(10 ** costs[at]) - 1) < 1e-3
+    nodes, bits, _, of = tree.inside(np.arange(len(tree.of)))
+    alone = np.bincount(of, np.log10(lm_mixing.of_bits(lm_mixing.squash(tree.prior[nodes]), bits)), len(tree.of))
+    assert np.allclose(alone, tree.share, atol=1e-4)
+
+
 def test_guesses_are_those_of_a_loop():
     r = random.Random(3)
     lexicon = lm_mixing.Lexicon(pa.array([], pa.binary()), np.array([1, 1]), lm_mixing.Tree(np.array([1, 1]), np.arange(2)), lm_mixing.Code([1] * 256), 1, 1)
