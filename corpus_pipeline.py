@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm.common import documents, stored
+from strataforge.llm.common import documents, stored, within_memory
 from strataforge.llm.language_id import in_known_language
 from strataforge.llm.packing import pack
 from strataforge.llm.quality_rules import good_documents
@@ -22,29 +22,29 @@ from strataforge.llm.simhash import one_of_each
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is known; learned from the stage's own labelled rows. Rows without text or letters go, as do
     all if no row is labelled."""
-    return in_known_language(docs)
+    return in_known_language(within_memory(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep. Null and empty texts have no words and go."""
-    return good_documents(docs)
+    return good_documents(within_memory(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of the least doc_id (a null is less than any); of rows with one doc_id
     the one whose text has the least digest, of equal rows any one. Texts without words are one group."""
-    return one_of_each(docs)
+    return one_of_each(within_memory(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the secrets in their texts replaced by a mark, and n_chars set anew there. Null texts stay null."""
-    return redacted(docs)
+    return redacted(within_memory(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its sequence and its place there. A null or empty text is one piece, the end;
     repeated rows are packed each; further columns end here."""
-    return pack(docs)
+    return pack(within_memory(docs), step=1_000_000)
 
 
 STAGES = [

@@ -52,6 +52,15 @@ def text_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def within_memory(df: DataFrame) -> DataFrame:
+    """df, in whose session Python gets 1,000 rows at a time, also where an operator has set 4,000: where several operators
+    follow each other, each has less beside a heap that those before it have filled."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) in ("10000", "4000"):
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 #: Rows that may be broadcast as marks or heavy keys: some MB at most.
 MARKS = 100_000
 HEAVY = 1000

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import library_chunks, vocabulary
-from .common import column, released, steps, stored, text_rows
+from .common import STEP_CHARS, column, released, steps, stored, text_rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, rank long, ids binary"
 
@@ -102,14 +102,14 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[
     return moves, made
 
 
-def _pieces(name: str, end: int, capacity: int, with_ids: bool):
+def _pieces(name: str, end: int, capacity: int, with_ids: bool, step: int = STEP_CHARS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, close = library_chunks(vocabulary(name)), end.to_bytes(4, "little")
         block, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             doc_ids, k = column(batch, "doc_id"), 0
             source, out = [], ([], [], [], [], [], [])
-            for part in steps(x.as_py() for x in column(batch, "text")):
+            for part in steps((x.as_py() for x in column(batch, "text")), step):
                 for ids in encoder.encode(part):
                     ids += close
                     n, at, piece = len(ids) // 4, 0, 0
@@ -151,13 +151,14 @@ def _places(moves: dict[int, list[tuple[int, int, int]]]):
     return run
 
 
-def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end: int = 0, with_ids: bool = False, step: int = STEP_CHARS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of every document.
 
     A document is its ids and `end`; one of more than `capacity` ids is cut into pieces of `capacity`, of which
     the first may be shorter. Null text is empty (one piece: `end`); a null key stays null; repeated rows are
-    packed each; an empty table gives no rows; further columns are ignored."""
-    pieces = stored(text_rows(documents).select("doc_id", "text").mapInArrow(released(_pieces(tokenizer, end, capacity, with_ids)), PIECES), "pieces")
+    packed each; an empty table gives no rows; further columns are ignored. step: characters that a worker encodes
+    at a time; fewer take less memory and more time, and give the same rows."""
+    pieces = stored(text_rows(documents).select("doc_id", "text").mapInArrow(released(_pieces(tokenizer, end, capacity, with_ids, step)), PIECES), "pieces")
     blocks = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     # at most `capacity` rows come to the driver, whatever the corpus
     moves, _ = plan_packing({int(r["length"]): int(r["n"]) for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataforge.llm.common import documents, stored
+from strataforge.llm.packing import pack
 from strataforge.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import plain_groups, plain_measures, plain_spans
 
@@ -88,6 +89,24 @@ def test_stages_on_odd_rows(spark):
     assert packed.where("piece = 0").count() == len(given)
 
 
+def test_stages_take_few_rows_and_short_texts_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, "some words of a text " * (k % 7) + str(k)) for k in range(300)], "doc_id long, text string")
+    found = lambda rows: sorted(tuple(r)[:5] for r in rows.collect())
+    try:
+        spark.conf.set(name, "10000")
+        whole = pack(docs)
+        packed = corpus_pipeline.best_fit_packing(spark, docs, "")
+        assert spark.conf.get(name) == "1000" and found(packed) == found(whole) == found(pack(docs, step=50))
+        assert packed.select("sequence_id").distinct().count() == whole.select("sequence_id").distinct().count()
+        spark.conf.set(name, "77")
+        corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit("en")), "")
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.set(name, own)
+
+
 def test_stages_on_empty_tables(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
