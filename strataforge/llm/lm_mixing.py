@@ -149,8 +149,9 @@ class Code:
         """(nodes, bits, place in leaves) of all decisions."""
         sizes = self.sizes[leaves]
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[leaves] - ends + sizes, sizes)
-        return self.nodes[at], self.bits[at], np.repeat(np.arange(len(leaves)), sizes)
+        of = np.repeat(np.arange(len(leaves)), sizes)
+        at = np.arange(len(of)) + (self.starts[leaves] - ends + sizes).take(of)
+        return self.nodes.take(at), self.bits.take(at), of
 
 
 def squash(x):
@@ -228,16 +229,17 @@ class Mixer:
         found += known
         dot = self.mixed(found, gate)
         wrong = bits - squash(dot)
-        seen = np.bincount(gate, minlength=self.gates)
+        one = bits.astype(np.int32)
+        spot = gate * MAP_STEPS + np.rint((dot + np.float32(LIMIT)) * np.float32((MAP_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
+        both = np.bincount(2 * spot + one, minlength=2 * self.met.size).reshape(*self.met.shape, 2)
+        seen = both.sum(axis=(1, 2))
         # a gate's steps do not grow without end with what many bits say alike
         by = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / 50)
         for k, x in enumerate([*found, np.ones(1, np.float32)]):
             self.weights[k] += (by * np.bincount(gate, wrong * x, self.gates)).astype(np.float32)
-        spot = gate * MAP_STEPS + np.rint((dot + LIMIT) * ((MAP_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
         self.seen += seen
-        self.met += np.bincount(spot, minlength=self.met.size).reshape(self.met.shape)
-        self.ones += np.bincount(spot, bits, self.ones.size).reshape(self.ones.shape)
-        one = bits.astype(np.int32)
+        self.met += both.sum(axis=2)
+        self.ones += both[:, :, 1]
         for k, slot in enumerate(slots):
             self.new[k].append(2 * slot.astype(np.int32) + one)
         self.counted += len(bits)
@@ -366,8 +368,8 @@ class Lexicon:
         """(hashes [4, n], positions, bits, word) of the bits of the bytes and the closing byte of these words."""
         flat, of, contexts = self._letters(words)
         nodes, bits, at = self.letters.paths(flat.astype(np.int64))
-        nodes = spread(nodes, 77)
-        return np.stack([spread(c, 101 + k)[at] + nodes for k, c in enumerate(contexts)]) * np.uint32(0x9E3779B1), np.zeros(len(bits), np.int64), bits.astype(np.float32), of[at]
+        nodes = spread(np.arange(256), 77).take(nodes)
+        return np.stack([spread(c, 101 + k).take(at) + nodes for k, c in enumerate(contexts)]) * np.uint32(0x9E3779B1), np.zeros(len(bits), np.int64), bits.astype(np.float32), of[at]
 
     def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """All bytes with a closing one a word, the word of each, and their four contexts: 32-bit numbers."""
