@@ -34,9 +34,11 @@ the head leave the texts and are joined to their counts.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -71,6 +73,11 @@ INNER = (0, 1, 2, 3)
 INNER_POSITIONS = 8
 #: Predictions are whole tenths of the logistic domain.
 TENTH = np.float32(0.1)
+GOLDEN = np.uint32(0x9E3779B1)
+#: Slots that are made anew at once; what FEW zeros and ones give is made once.
+STEP = 1 << 14
+FEW_BITS = 6
+FEW = 1 << FEW_BITS
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -178,17 +185,29 @@ class Mixer:
         self.seen = np.zeros(self.gates)
         self.met, self.ones = (np.zeros((self.gates, MAP_STEPS)) for _ in range(2))
         self.table: np.ndarray | None = None
-        self.frozen: tuple[np.ndarray, np.ndarray] | None = None
+        # by context: of a slot the stretched quotient; in watched ones its level before it, in one number, read at once
+        self.read: list[np.ndarray] = []
         self.new: list[list[np.ndarray]] = []
         self.counted, self.refreshed = 0, 0
 
     def opened(self) -> Mixer:
         """With empty tables, to learn."""
         self.table = np.zeros((self.contexts, self.slots * 2), np.uint32)
-        self.frozen = np.zeros((self.contexts, self.slots), np.int8), np.zeros((2, self.slots), np.uint8)
+        self.read = self.unread()
         self.new = [[] for _ in range(self.contexts)]
+        low, high = np.arange(FEW * FEW, dtype=np.float32) % FEW, np.arange(FEW * FEW) // FEW
+        zeros, ones = (low, high.astype(np.float32)) if sys.byteorder == "little" else (high.astype(np.float32), low)
+        self.few = self.tenths(zeros, ones), self.level(zeros + ones)
         return self
 
+    def unread(self) -> list[np.ndarray]:
+        return [np.zeros(self.slots, np.uint16 if k in self.watched else np.int8) for k in range(self.contexts)]
+
+    @property
+    def frozen(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Stretched quotients in tenths by context, levels by watched context: what `read` has."""
+        return [x.view(np.int8)[x.itemsize - 1 :: x.itemsize] for x in self.read], [self.read[k].view(np.uint8)[::2] for k in self.watched]
+
     @staticmethod
     def tenths(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
         stretched = np.clip(np.log((ones + np.float32(0.1)) / (zeros + np.float32(0.1))), -LIMIT, LIMIT)
@@ -196,20 +215,33 @@ class Mixer:
 
     @staticmethod
     def level(seen: np.ndarray) -> np.ndarray:
-        return np.minimum(np.frexp(seen)[1], LEVELS - 1)
-
-    def inputs(self, hashes: np.ndarray, positions: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-        """Stretched predictions by context, gates, and the slots; of bits with these context hashes [contexts, n]."""
-        slots = [(h >> self.shift).astype(np.int64) for h in hashes]
-        found = [values.take(slot) * TENTH for values, slot in zip(self.frozen[0], slots)]
-        low, high = (levels.take(slots[k]) for levels, k in zip(self.frozen[1], self.watched))
-        return found, (positions * LEVELS + high) * LEVELS + low, slots
+        return reduce(np.add, ((seen >= np.float32(1 << k)).view(np.uint8) for k in range(LEVELS - 1)))
+
+    def inputs(self, hashes: Iterable[np.ndarray], gate: np.ndarray, ones: np.ndarray | None = None) -> list[np.ndarray]:
+        """Stretched predictions by context, of bits with these hashes by context, which are spent. To gate, where
+        the position is, the levels are added. With ones (0 or 1 a bit) given, the bits wait for count()."""
+        found = []
+        for k, slot in enumerate(hashes):
+            slot >>= self.shift
+            at = slot.astype(np.intp)
+            read = self.read[k].take(at)
+            found.append(read.view(np.int8)[read.itemsize - 1 :: read.itemsize] * TENTH)
+            for j, scale in enumerate((1, LEVELS)):
+                if self.watched[j] == k:
+                    gate += read.view(np.uint8)[::2] * np.uint8(scale)
+            if ones is not None:
+                slot <<= np.uint32(1)
+                slot += ones
+                self.new[k].append(slot.view(np.int32))
+        return found
 
     def mixed(self, found: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         dot = self.weights[-1].take(gate)
         for k, x in enumerate(found):
-            dot += self.weights[k].take(gate) * x
-        return np.clip(dot, -LIMIT, LIMIT)
+            own = self.weights[k].take(gate)
+            own *= x
+            dot += own
+        return np.clip(dot, -LIMIT, LIMIT, out=dot)
 
     def probability(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one: half the mixer's, half the map's, between its nearest two entries."""
@@ -220,28 +252,36 @@ class Mixer:
         mapped = flat.take(at) * (1 - share) + flat.take(at + 1) * share
         return np.clip(np.float32(0.5) * (mapped + squash(dot)), np.float32(1e-5), np.float32(1 - 1e-5))
 
-    def learn(self, hashes: np.ndarray, positions: np.ndarray, bits: np.ndarray, rate: float = 0.02, known: tuple[np.ndarray, ...] = ()) -> None:
+    def learn(self, hashes: np.ndarray, positions: np.ndarray, bits: np.ndarray) -> None:
         """Online: the block is predicted by what was learned before and moves weights and map by its error; its bits
         wait for count()."""
+        if len(bits):
+            gate = positions * (LEVELS * LEVELS)
+            self.moved(self.inputs((h.copy() for h in hashes), gate, bits.astype(np.uint32)), gate, bits)
+
+    def moved(self, found: list[np.ndarray], gate: np.ndarray, bits: np.ndarray, rate: float = 0.02) -> None:
+        """Weights and map, by the error of a block's bits with these stretched predictions and gates."""
         if not len(bits):
             return
-        found, gate, slots = self.inputs(hashes, positions)
-        found += known
         dot = self.mixed(found, gate)
         wrong = bits - squash(dot)
-        one = bits.astype(np.int32)
-        spot = gate * MAP_STEPS + np.rint((dot + np.float32(LIMIT)) * np.float32((MAP_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
-        both = np.bincount(2 * spot + one, minlength=2 * self.met.size).reshape(*self.met.shape, 2)
+        dot += np.float32(LIMIT)
+        dot *= np.float32((MAP_STEPS - 1) / (2 * LIMIT))
+        spot = np.rint(dot, out=dot).astype(np.intp)
+        spot += gate * MAP_STEPS
+        spot += spot
+        spot += bits.astype(np.uint8)
+        both = np.bincount(spot, minlength=2 * self.met.size).reshape(*self.met.shape, 2)
         seen = both.sum(axis=(1, 2))
         # a gate's steps do not grow without end with what many bits say alike
         by = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / 50)
-        for k, x in enumerate([*found, np.ones(1, np.float32)]):
-            self.weights[k] += (by * np.bincount(gate, wrong * x, self.gates)).astype(np.float32)
+        slope = np.empty(len(bits))
+        for k, x in enumerate([*found, np.float32(1)]):
+            np.multiply(wrong, x, out=slope)
+            self.weights[k] += (by * np.bincount(gate, slope, self.gates)).astype(np.float32)
         self.seen += seen
         self.met += both.sum(axis=2)
         self.ones += both[:, :, 1]
-        for k, slot in enumerate(slots):
-            self.new[k].append(2 * slot.astype(np.int32) + one)
         self.counted += len(bits)
 
     def count(self) -> None:
@@ -252,12 +292,23 @@ class Mixer:
                 np.add.at(table, at, np.uint32(1))
             new.clear()
         if self.counted > 1.2 * self.refreshed:
-            self.refreshed = self.counted
+            self.refreshed, (all_tenths, all_levels) = self.counted, self.frozen
             for k, table in enumerate(self.table):
-                zeros, ones = table.astype(np.float32).reshape(-1, 2).T
-                self.frozen[0][k] = self.tenths(zeros, ones)
-                if k in self.watched:
-                    self.frozen[1][self.watched.index(k)] = self.level(zeros + ones)
+                both = table.view(np.uint64)
+                for begin in range(0, self.slots, STEP):
+                    own = slice(begin, begin + STEP)
+                    # zeros in the lower half of a number and ones in the upper, or the other way round
+                    pair = both[own]
+                    at = ((pair | pair >> np.uint64(32 - FEW_BITS)) & np.uint64(FEW * FEW - 1)).view(np.int64)
+                    many = np.flatnonzero((pair & np.uint64((1 << 32 | 1) * (2**32 - FEW))) != 0)
+                    zeros, ones = table[2 * begin : 2 * (begin + STEP)].reshape(-1, 2).take(many, axis=0).T.astype(np.float32)
+                    tenths = self.few[0].take(at)
+                    tenths[many] = self.tenths(zeros, ones)
+                    all_tenths[k][own] = tenths
+                    if k in self.watched:
+                        levels = self.few[1].take(at)
+                        levels[many] = LEVELS - 1
+                        all_levels[self.watched.index(k)][own] = levels
 
     def told(self) -> np.ndarray:
         """What a task has learned beside its tables, as numbers that add up over tasks."""
@@ -276,7 +327,43 @@ class Mixer:
         self.weights = np.where(self.seen > 0, mean, self.weights).astype(np.float32)
         self.map_ = ((100 * self.map_ + ones.reshape(self.map_.shape)) / (100 + met.reshape(self.map_.shape))).astype(np.float32)
         self.met = self.ones = None
-        self.frozen = tables[0].reshape(self.contexts, -1), tables[1].reshape(self.contexts, -1)[list(self.watched)]
+        self.read = self.unread()
+        for k, own in enumerate(self.frozen[0]):
+            own[:] = tables[0].reshape(self.contexts, -1)[k]
+        for k, own in zip(self.watched, self.frozen[1]):
+            own[:] = tables[1].reshape(self.contexts, -1)[k]
+
+
+@dataclass
+class Ways:
+    """Decisions of ways laid end to end: how many there are on each way, where it starts; of each decision the mark that it
+    adds to a hash, its bit as a float and its prior, side by side in 16 bytes."""
+
+    sizes: np.ndarray
+    starts: np.ndarray
+    decisions: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, marks: np.ndarray, bits: np.ndarray, prior: np.ndarray) -> Ways:
+        decisions = np.zeros((len(marks), 4), np.uint32)
+        decisions[:, 0], decisions[:, 1], decisions[:, 2] = marks, bits.astype(np.float32).view(np.uint32), prior.astype(np.float32).view(np.uint32)
+        return Ways(sizes.astype(np.uint8), np.cumsum(sizes) - sizes, decisions)
+
+    def along(self, ways: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """(order, counts, marks, bits, priors): the order of ways from the longest on; all first decisions, all second ones
+        and so on, in this order, so that `counts` many ways, the first ones, have a first decision, a second and so on."""
+        sizes = self.sizes.take(ways)
+        order = np.argsort(~sizes, kind="stable")
+        starts = self.starts.take(ways.take(order))
+        least = np.cumsum(np.bincount(sizes)[::-1])[::-1]
+        counts = least[1:].tolist()
+        found = self.decisions.take(firsts(starts, counts) + np.repeat(np.arange(len(counts)), counts), axis=0)
+        return order, counts, found[:, 0].copy(), found[:, 1].copy().view(np.float32), found[:, 2].copy().view(np.float32)
+
+
+def firsts(x: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The first so many of x, one after the other."""
+    return np.concatenate([x[:n] for n in counts]) if counts else x[:0]
 
 
 class Tree:
@@ -333,6 +420,18 @@ class Tree:
         # of a leaf in its class by weight alone: what the priors on its way give together
         self.share = np.log10(weights / np.bincount(self.of, weights)[self.of])
 
+    @functools.cached_property
+    def ways(self) -> Ways:
+        """To the classes."""
+        real = self.nodes > 0
+        return Ways.of(real.sum(axis=1), spread(self.nodes[real], 23) * GOLDEN, self.bits[real], np.zeros(real.sum()))
+
+    @functools.cached_property
+    def inner_ways(self) -> Ways:
+        """From the classes to the leaves; marks are the places."""
+        nodes = self.turns >> 1
+        return Ways.of(self.sizes, self.place.take(nodes), self.turns & 1, self.prior.take(nodes))
+
     def inside(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(nodes, bits, depths, place in leaves) of all decisions within the classes of these leaves."""
         sizes = self.sizes[leaves]
@@ -456,45 +555,65 @@ def again(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     one = np.where(first, len(tokens.words), np.r_[0, number[:-1]])
     second = first | np.r_[True, first[:-1]]
     two = np.where(second, len(tokens.words), np.r_[0, 0, number[:-2]][:n])
-    guessed, group, key = {}, text, one
+    guessed, group, key = [], text, one
     for order in (0, 1):
         place, same = alike(group, key)
-        before = np.full(n, -1)
-        before[place[same]] = place[np.flatnonzero(same) - 1]
-        held = (before >= 0) & (number == number[before])
-        sure = (held[before] & (before >= 0)).astype(int)
-        older = before[before]
-        sure += 2 * (held[older] & (before >= 0) & (older >= 0))
-        guessed[order] = before, held, sure
-        group, key = np.empty(n, np.int64), two
-        group[place] = np.cumsum(~same)
-    use = guessed[1][0] >= 0
-    before, held, sure = (np.where(use, guessed[1][k], guessed[0][k]) for k in range(3))
-    run = lambda back: np.r_[np.zeros(back, int), held[:-back]][:n]
-    history = np.where(first, 0, run(1)) + 2 * np.where(second, 0, run(2))
-    return np.where(before >= 0, use * 16 + sure * 4 + history, -1).astype(np.int64), held.astype(bool)
-
-
-def class_bits(tokens: Tokens, rows: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes [4, n], nodes, bits) of the class decisions of these tokens, DEPTH each; node 0 is none."""
-    classes = tree.of[tokens.leaf[rows]]
-    nodes, bits = tree.nodes[classes].ravel(), tree.bits[classes].ravel()
-    marks = spread(np.arange(2 * CLASSES), 23)[nodes]
-    return np.stack([(c[rows].repeat(DEPTH) + marks) * np.uint32(0x9E3779B1) for c in tokens.contexts]), nodes, bits
-
-
-def inner_bits(tokens: Tokens, rows: np.ndarray, tree: Tree, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes [INNER, n], positions, bits, priors, place in rows) of the decisions within these tokens' classes. In a
-    context a class has slots side by side, so that its upper nodes are near in memory."""
-    leaves = tokens.leaf[rows]
-    nodes, bits, depth, of = tree.inside(leaves)
-    marks, aside = spread(tree.of[leaves], 31), tree.place.take(nodes) << np.uint32(33 - slots.bit_length())
-    hashes = np.stack([((tokens.contexts[k][rows] ^ marks) * np.uint32(0x9E3779B1)).take(of) + aside for k in INNER])
-    return hashes, np.minimum(depth, INNER_POSITIONS - 1), bits, tree.prior.take(nodes), of
-
-
-def depths(n: int) -> np.ndarray:
-    return np.tile(np.arange(DEPTH), n)
+        before, again_ = np.full(n, -1), np.flatnonzero(same)
+        before[place.take(again_)] = place.take(again_ - 1)
+        # where there is none before, the last place is read and not used
+        has, older = before >= 0, before.take(before)
+        held = (number == number.take(before)) & has
+        sure = (held.take(before) & has).view(np.uint8)
+        sure += (held.take(older) & has & (older >= 0)).view(np.uint8) * np.uint8(2)
+        guessed.append((has, held, sure))
+        if not order:
+            group, key = np.empty(n, np.int64), two
+            group[place] = np.cumsum(~same)
+    use = guessed[1][0]
+    has, held, sure = (np.where(use, second, first) for first, second in zip(*guessed))
+    state = use * np.uint8(16) + sure * np.uint8(4)
+    state[1:] += (held[:-1] & ~first[1:]).view(np.uint8)
+    state[2:] += (held[:-2] & ~second[2:]).view(np.uint8) * np.uint8(2)
+    return np.where(has, state.astype(np.int64), -1), held
+
+
+@dataclass
+class Block:
+    """Decisions of tokens that follow each other, as Ways.along has them: the tokens' rows; the order and counts; of each
+    decision its bit, stretched predictions and gate."""
+
+    rows: np.ndarray
+    order: np.ndarray
+    counts: list[int]
+    bits: np.ndarray
+    found: list[np.ndarray]
+    gate: np.ndarray
+
+
+def class_blocks(mixer: Mixer, tokens: Tokens, rows: np.ndarray, tree: Tree, counted: bool = False) -> Iterator[Block]:
+    """The class decisions of these tokens, block by block. counted: the bits wait for the mixer's count()."""
+    for begin in range(0, len(rows), BLOCK):
+        part = rows[begin : begin + BLOCK]
+        order, counts, marks, bits, _ = tree.ways.along(tree.of.take(tokens.leaf.take(part)))
+        gate = np.repeat(np.arange(len(counts)) * (LEVELS * LEVELS), counts)
+        own = part.take(order)
+        hashes = (firsts(c.take(own) * GOLDEN, counts) + marks for c in tokens.contexts)
+        yield Block(part, order, counts, bits, mixer.inputs(hashes, gate, bits.astype(np.uint32) if counted else None), gate)
+
+
+def inner_blocks(mixer: Mixer, tokens: Tokens, rows: np.ndarray, tree: Tree, counted: bool = False) -> Iterator[Block]:
+    """The decisions within these tokens' classes, likewise. In a context a class has slots side by side, so that its upper
+    nodes are near in memory."""
+    aside, classes = np.uint32(33 - mixer.slots.bit_length()), spread(np.arange(CLASSES), 31)
+    for begin in range(0, len(rows), BLOCK):
+        part = rows[begin : begin + BLOCK]
+        order, counts, marks, bits, prior = tree.inner_ways.along(tokens.leaf.take(part))
+        gate = np.repeat(np.minimum(np.arange(len(counts)), INNER_POSITIONS - 1) * (LEVELS * LEVELS), counts)
+        marks <<= aside
+        own = part.take(order)
+        of = classes.take(tree.of.take(tokens.leaf.take(own)))
+        hashes = (firsts((tokens.contexts[k].take(own) ^ of) * GOLDEN, counts) + marks for k in INNER)
+        yield Block(part, order, counts, bits, [*mixer.inputs(hashes, gate, bits.astype(np.uint32) if counted else None), prior], gate)
 
 
 @dataclass
@@ -511,8 +630,8 @@ class Model:
         for k in range(0, len(words), 5000):
             part = words[k : k + 5000]
             hashes, positions, bits, of = self.lexicon.letter_bits(part)
-            inputs, gate, _ = self.letters.inputs(hashes, positions)
-            p = self.letters.probability(self.letters.mixed(inputs, gate), gate)
+            gate = positions * (LEVELS * LEVELS)
+            p = self.letters.probability(self.letters.mixed(self.letters.inputs(hashes, gate), gate), gate)
             found.append(np.bincount(of, np.log10(of_bits(p, bits)), len(part)))
         return np.concatenate(found)
 
@@ -521,38 +640,43 @@ class Model:
         shift those that come; between blocks the text that goes on keeps its sums."""
         found = [np.zeros(0)]
         kept, text_kept = np.zeros((2, DEPTH), np.float32), -1
-        for begin in range(0, len(rows), BLOCK):
-            part = rows[begin : begin + BLOCK]
-            hashes, nodes, bits = class_bits(tokens, part, self.lexicon.tree)
-            inputs, gate, _ = self.words.inputs(hashes, depths(len(part)))
-            p = self.words.probability(self.words.mixed(inputs, gate), gate)
-            real = (nodes > 0).astype(np.float32)
-            sums = np.stack([(bits - p) * real, p * (1 - p) * real]).reshape(2, -1, DEPTH)
-            upto = np.cumsum(sums, axis=1, dtype=np.float32) - sums
-            text = tokens.text[part]
+        for block in class_blocks(self.words, tokens, rows, self.lexicon.tree):
+            p = self.words.probability(self.words.mixed(block.found, block.gate), block.gate)
+            n, counts, ends = len(block.rows), block.counts, np.cumsum(block.counts)
+            # a row a depth, in the tokens' order; where a path has ended nothing is added and nothing paid
+            each, bits, real = np.zeros((DEPTH, n), np.float32), np.zeros((DEPTH, n), np.float32), np.zeros((DEPTH, n), np.float32)
+            for d, end in enumerate(ends.tolist()):
+                at, own = block.order[: counts[d]], slice(end - counts[d], end)
+                each[d][at], bits[d][at], real[d][at] = p[own], block.bits[own], 1
+            p = each
+            sums = np.stack([(bits - p) * real, p * (1 - p)])
+            upto = np.cumsum(sums, axis=2, dtype=np.float32) - sums
+            text = tokens.text.take(block.rows)
             first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            lengths = np.diff(np.r_[first, len(part)])
-            start = upto[:, first]
+            start = upto[:, :, first]
             if text[0] == text_kept:
-                start[:, 0] -= kept
-            past = upto - np.repeat(start, lengths, axis=1)
-            shift = np.clip(past[0] / (past[1] + np.float32(CALM)), -2, 2).ravel()
-            kept, text_kept = past[:, -1] + sums[:, -1], text[-1]
+                start[:, :, 0] -= kept
+            past = upto - np.repeat(start, np.diff(np.r_[first, n]), axis=2)
+            shift = np.clip(past[0] / (past[1] + np.float32(CALM)), -2, 2)
+            kept, text_kept = past[:, :, -1] + sums[:, :, -1], text[-1]
             # of the odds, times e to the shift
             odds = p / (1 - p) * np.exp(shift)
             p = (bits * odds + (1 - bits)) / (1 + odds)
-            found.append(np.log10(reduce(np.multiply, (p * real + (1 - real)).astype(np.float64).reshape(-1, DEPTH).T)))
+            p = p * real + (1 - real)
+            found.append(np.log10(reduce(np.multiply, p.astype(np.float64))))
         return np.concatenate(found)
 
     def inner_costs(self, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
         """log10 of the probability of these tokens within their classes."""
         found = [np.zeros(0)]
-        for begin in range(0, len(rows), BLOCK):
-            part = rows[begin : begin + BLOCK]
-            hashes, positions, bits, prior, of = inner_bits(tokens, part, self.lexicon.tree, self.inner.slots)
-            inputs, gate, _ = self.inner.inputs(hashes, positions)
-            p = self.inner.probability(self.inner.mixed([*inputs, prior], gate), gate)
-            found.append(np.bincount(of, np.log10(of_bits(p, bits)), len(part)))
+        for block in inner_blocks(self.inner, tokens, rows, self.lexicon.tree):
+            p = self.inner.probability(self.inner.mixed(block.found, block.gate), block.gate)
+            each, costs, begin = np.log10(of_bits(p, block.bits)), np.zeros(len(block.rows)), 0
+            for n in block.counts:
+                costs[:n] += each[begin : begin + n]
+                begin += n
+            found.append(np.empty(len(costs)))
+            found[-1][block.order] = costs
         return np.concatenate(found)
 
     def token_costs(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -634,17 +758,12 @@ def _learned_words(shared, slots: int):
                 at, held = again(tokens)
                 states += np.bincount((2 * at + held)[at >= 0], minlength=2 * AGAIN)
                 rows = np.flatnonzero(~held)
-                for begin in range(0, len(rows), BLOCK):
-                    hashes, nodes, bits = class_bits(tokens, rows[begin : begin + BLOCK], lexicon.tree)
-                    real = np.flatnonzero(nodes)
-                    mixer.learn(hashes[:, real], real % DEPTH, bits[real])
-                    hashes, positions, bits, prior, _ = inner_bits(tokens, rows[begin : begin + BLOCK], lexicon.tree, slots)
-                    inner.learn(hashes, positions, bits, known=(prior,))
-                    if begin // BLOCK % 32 == 31:
-                        mixer.count()
-                        inner.count()
-                mixer.count()
-                inner.count()
+                for of, blocks in ((mixer, class_blocks), (inner, inner_blocks)):
+                    for k, block in enumerate(blocks(of, tokens, rows, lexicon.tree, counted=True)):
+                        of.moved(block.found, block.gate, block.bits)
+                        if k % 32 == 31:
+                            of.count()
+                    of.count()
         stripes = mixer.table.size // STRIPE
         yield _stripe_rows(mixer.table, 0)
         yield _stripe_rows(inner.table, stripes)
@@ -658,8 +777,7 @@ def _learned_letters(shared):
         lexicon: Lexicon = shared.value
         mixer = letter_mixer().opened()
         for batch in batches:
-            words = column(batch, "word")
-            words = words.filter(pa.array(lexicon.leaves(words) == 0)).to_numpy(zero_copy_only=False).tolist()
+            words = column(batch, "word").to_numpy(zero_copy_only=False).tolist()
             for begin in range(0, len(words), 3000):
                 hashes, positions, bits, _ = lexicon.letter_bits(words[begin : begin + 3000])
                 mixer.learn(hashes, positions, bits)
@@ -733,7 +851,8 @@ def train(documents: DataFrame, training: Column, head: int = 60_000) -> tuple[D
     of the rows for which `training` is true."""
     spark = documents.sparkSession
     texts = text_rows(documents).where(training).select("text")
-    counted = texts.mapInArrow(released(_word_counts), "word binary, n long, best long").groupBy("word")
+    # tasks have added up their own counts: their rows are dealt as they are and added once
+    counted = texts.mapInArrow(released(_word_counts), "word binary, n long, best long").repartition("word").groupBy("word")
     counts = stored(counted.agg(F.sum("n").alias("n"), F.pmod(F.max("best"), F.lit(GROUPS)).cast("int").alias("likes")), "word-counts")
     end = F.col("word") == END
     total, distinct, rows, once = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(end, F.col("n"))), F.lit(0)), F.count_if((F.col("n") == 1) & ~end)).first())
@@ -766,54 +885,65 @@ def train(documents: DataFrame, training: Column, head: int = 60_000) -> tuple[D
     words.take(numbers[2 * AGAIN :], (tenths[:own], levels[:own]))
     inner.take(numbers[2 * AGAIN + words.size :], (tenths[own:], levels[own:]))
     states = numbers[: 2 * AGAIN].reshape(AGAIN, 2) + 0.4
-    tenths, levels, numbers = _gathered(counts.where(~end).select("word").mapInArrow(released(_learned_letters(shared)), stripes), LETTER_SLOTS, spelled.contexts, counts.rdd.getNumPartitions())
+    tenths, levels, numbers = _gathered(counts.where(F.lit(False) if most is None else ~end & (octave <= most)).select("word").mapInArrow(released(_learned_letters(shared)), stripes), LETTER_SLOTS, spelled.contexts, counts.rdd.getNumPartitions())
     spelled.take(numbers, (tenths, levels))
     return counts.select("word", "n"), Model(lexicon, words, spelled, states[:, 1] / states.sum(axis=1), inner)
 
 
+def _new_letters(model: Model, words: list[pa.Array], held: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """What the letters of each of these words cost, if the word may be unknown, or 0: only texts held out can have unknown
+    words, and what a text beside them has that is learned from is known."""
+    found, all_ = np.zeros(len(held)), pa.concat_arrays(words)
+    wanted = np.flatnonzero(held & (spelled > 0))
+    own = all_.take(pa.array(wanted)).dictionary_encode()
+    new = np.flatnonzero(~pc.is_in(own.dictionary, value_set=all_.filter(pa.array(~held))).to_numpy(zero_copy_only=False))
+    costs = np.zeros(len(own.dictionary))
+    costs[new] = model.letter_costs(own.dictionary.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+    found[wanted] = costs.take(own.indices.to_numpy())
+    return found
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         lexicon = model.lexicon
         size = np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1))
-        value = np.log10(lexicon.counts + 0.5) - size
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("spelled", pa.int64())]))
+        value, known = np.log10(lexicon.counts + 0.5) - size, lexicon.counts > 0
+        value[0], known[0] = 0, False
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("spelled", pa.int64()), ("letters", pa.float64())]))
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
+            rare, held, begin = [], [], 0
+            held_out = column(batch, "held_out").to_numpy(zero_copy_only=False)
             for part in parts_of(batch):
                 tokens = tokens_of(part, lexicon)
                 n, common = len(part), tokens.leaf > 0
                 costs, spelled = model.token_costs(tokens)
-                out[0].append(np.bincount(tokens.text, minlength=n))
-                out[1].append(np.bincount(tokens.text[common & (lexicon.counts[tokens.leaf] > 0)], minlength=n))
-                out[2].append(np.bincount(tokens.text, pc.binary_length(tokens.words).to_numpy()[tokens.number] + (tokens.leaf != 1), n))
-                out[3].append(np.bincount(tokens.text[common], value[tokens.leaf[common]], n))
-                out[4].append(np.bincount(tokens.text, costs, n))
+                # each text has a token at least, its end
+                first = np.flatnonzero(np.r_[True, tokens.text[1:] != tokens.text[:-1]])
+                out[0].append(np.diff(np.r_[first, len(costs)]))
+                out[1].append(np.add.reduceat(known.take(tokens.leaf), first, dtype=np.int64))
+                lengths = pc.binary_length(tokens.words).to_numpy().astype(np.int64)
+                out[2].append(np.add.reduceat(lengths.take(tokens.number) + (tokens.leaf != 1), first))
+                out[3].append(np.add.reduceat(value.take(tokens.leaf), first))
+                out[4].append(np.add.reduceat(costs, first))
                 pairs, of, times = np.unique(tokens.text[~common] << 32 | tokens.number[~common], return_inverse=True, return_counts=True)
                 told = np.bincount(of, spelled[~common], len(pairs)).astype(np.int64)
                 cuts = np.searchsorted(pairs >> 32, np.arange(n + 1))
-                words = tokens.words.take(pa.array(pairs & 0xFFFFFFFF))
-                rows = pa.StructArray.from_arrays([words, pa.array(times), pa.array(told)], ["word", "n", "spelled"])
-                out[5].append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows))
+                rare.append((tokens.words.take(pa.array(pairs & 0xFFFFFFFF)), times, told, cuts))
+                held.append(held_out[begin : begin + n].take(pairs >> 32))
+                begin += n
+            if rare:
+                letters = iter(np.split(_new_letters(model, [x[0] for x in rare], np.concatenate(held), np.concatenate([x[2] for x in rare])), np.cumsum([len(x[0]) for x in rare])[:-1]))
+                for words, times, told, cuts in rare:
+                    rows = pa.StructArray.from_arrays([words, pa.array(times), pa.array(told), pa.array(next(letters))], ["word", "n", "spelled", "letters"])
+                    out[5].append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows))
             whole = [np.concatenate(x) if x else np.zeros(0) for x in out[:5]]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), *(pa.array(x.astype(np.int64)) for x in whole[:3]), *(pa.array(x.astype(np.float64)) for x in whole[3:]), pa.concat_arrays(x.cast(kind) for x in out[5]) if out[5] else pa.array([], kind)], ["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base", "score", "rare"])
 
     return run
 
 
-def _rare(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        size = np.log10(model.lexicon.total + 0.5 * (model.lexicon.distinct + 1))
-        for batch in batches:
-            counts = column(batch, "n").fill_null(0).to_numpy()
-            times, spelled = (column(batch, x).to_numpy() for x in ("times", "spelled"))
-            costs = model.rare_costs(column(batch, "word"), counts)
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(times * (np.log10(counts + 0.5) - size)), pa.array(spelled * costs), pa.array(np.where(counts > 0, times, 0))], ["row", "more", "more_score", "more_known"])
-
-    return run
-
-
 def score_documents(documents: DataFrame, head: int = 60_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row; learned from the
     rows not held out. score: log10 of the probability of the words and the end; bits_per_byte: its bits by the bytes
@@ -824,14 +954,19 @@ def score_documents(documents: DataFrame, head: int = 60_000) -> DataFrame:
     spark = documents.sparkSession
     counts, model = train(documents, fold("doc_id", 5) != 1, head)
     shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, score double, rare array<struct<word:binary,n:long,spelled:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, score double, rare array<struct<word:binary,n:long,spelled:long,letters:double>>"
     rows = documents.select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out")).mapInArrow(released(_score(shared)), schema)
     scored = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"), "x.spelled")
+    words = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"), "x.spelled", "x.letters")
     # neither side is sorted: of the counts, each once, a task holds its part
-    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("row", "word", "times", "spelled", "n")
-    told = met.mapInArrow(released(_rare(shared)), "row long, more double, more_score double, more_known long")
-    rest = told.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_score").alias("more_score"), F.sum("more_known").alias("more_known"))
+    met = words.join(counts.hint("shuffle_hash"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # as Model.rare_costs has it
+    lexicon, unknown = model.lexicon, model.lexicon.unknown()
+    size = math.log10(lexicon.total + 0.5 * (lexicon.distinct + 1))
+    cost = F.when(F.col("n") > 0, F.log10(F.lit(1 - unknown) * F.col("n") / F.lit(max(lexicon.rare, 1)))).otherwise(F.lit(math.log10(unknown)) + F.col("letters"))
+    told = met.select("row", (F.col("times") * (F.log10(F.col("n") + 0.5) - size)).alias("more"), (F.col("spelled") * cost).alias("more_score"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"))
+    # words of a row are in many tasks: they are added once, where they meet
+    rest = told.repartition("row").groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_score").alias("more_score"), F.sum("more_known").alias("more_known"))
     whole = scored.drop("rare").join(rest, "row", "left")
     score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.lexicon.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

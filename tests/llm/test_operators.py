@@ -617,6 +617,50 @@ def test_probabilities_of_all_words_of_all_classes_sum_to_one(paired_model):
     assert np.allclose(alone, tree.share, atol=1e-4)
 
 
+def test_rare_words_are_costed_where_they_meet_their_counts(spark, mixed_model, monkeypatch):
+    texts, counts, model = mixed_model
+    some = [*texts[:60], "never seen words", "", None, "rare1 never rare1 rare2"]
+    table = spark.createDataFrame([*counts.items()], "word binary, n long")
+    monkeypatch.setattr(lm_mixing, "train", lambda *_: (table, model))
+    # all keys are held out: others have no unknown words
+    keys = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 5 == 1][: len(some)]
+    scored = lm_mixing.score_documents(spark.createDataFrame([*zip(keys, some)], "doc_id long, text string"))
+    # no further pass by Python over the words
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r for r in scored.collect()}
+    tokens = lm_mixing.tokens_of(pa.array([t or "" for t in some]), model.lexicon)
+    costs, rare = model.token_costs(tokens)
+    words = [tokens.words[int(k)].as_py() for k in tokens.number[rare]]
+    costs[rare] += model.rare_costs(pa.array(words, pa.binary()), np.array([counts.get(w, 0) for w in words]))
+    assert np.allclose([rows[k].score for k in keys], np.bincount(tokens.text, costs), rtol=1e-6)
+    assert [rows[k].n_known for k in keys] == [sum(w in counts for w in [*lm_mixing.words_of(t), b"\n"]) for t in some]
+
+
+def test_predictions_are_made_anew_from_few_and_many_bits():
+    r = np.random.RandomState(9)
+    mixer = lm_mixing.Mixer(3, 1 << 15, 1, (2, 0)).opened()
+    mixer.table[:] = r.choice([0, 0, 1, 3, 15, 16, 63, 64, 65, 4000, 2**31, 2**32 - 1], mixer.table.shape)
+    mixer.counted = 1
+    mixer.count()
+    tenths, levels = mixer.frozen
+    for k in range(3):
+        zeros, ones = mixer.table[k].astype(np.float32).reshape(-1, 2).T
+        assert (tenths[k] == mixer.tenths(zeros, ones)).all()
+        if k in (0, 2):
+            assert (levels[(2, 0).index(k)] == np.minimum(np.frexp(zeros + ones)[1], 5)).all()
+
+
+def test_decisions_along_ways_are_those_of_the_tree(paired_model):
+    tree = paired_model[1].lexicon.tree
+    leaves = np.random.RandomState(2).randint(0, len(tree.of), 500)
+    order, counts, marks, bits, prior = tree.inner_ways.along(leaves)
+    nodes, turns, depth, of = tree.inside(leaves)
+    want = [*zip(depth.tolist(), of.tolist(), tree.place[nodes].tolist(), turns.tolist(), tree.prior[nodes].tolist())]
+    have = [(d, int(k)) for d, n in enumerate(counts) for k in order[:n]]
+    assert sorted((*x, *y) for x, y in zip(have, zip(marks.tolist(), bits.tolist(), prior.tolist()))) == sorted(want)
+    assert [len(x) for x in tree.inner_ways.along(leaves[:0])] == [0] * 5
+
+
 def test_guesses_are_those_of_a_loop():
     r = random.Random(3)
     lexicon = lm_mixing.Lexicon(pa.array([], pa.binary()), np.array([1, 1]), lm_mixing.Tree(np.array([1, 1]), np.arange(2)), lm_mixing.Code([1] * 256), 1, 1)
